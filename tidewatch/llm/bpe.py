@@ -10,7 +10,7 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import kept, text_batches
+from tidewatch.llm.common import kept, schema_with, text_batches
 from tidewatch.llm.vocabulary import TwoGenerations, Vocabulary, default_path, vocabulary
 
 #: Entries of one generation of a worker's cache of encoded pre-tokens.
@@ -102,7 +102,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None, keep:
     path = path or default_path()
     keep = kept(df, keep, [text_col], ["token_ids"])
     text_batches(df.sparkSession)
-    schema = df.select(*keep).schema.add("token_ids", "array<int>")
+    schema = schema_with(df.select(*keep), "token_ids array<int>")
 
     def run(batches):
         import numpy as np
@@ -122,7 +122,7 @@ def decode(df: DataFrame, ids_col: str = "token_ids", path: str | None = None, o
     path = path or default_path()
     rest = [c for c in df.columns if c not in (ids_col, out_col)]
     text_batches(df.sparkSession)
-    schema = df.select(*rest).schema.add(out_col, "string")
+    schema = schema_with(df.select(*rest), f"`{out_col}` string")
 
     def run(batches):
         import pyarrow as pa
@@ -143,7 +143,7 @@ def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, k
     path = path or default_path()
     keep = kept(df, keep, [text_col], ["n_tokens", "ids_sha256", "decoded_sha256"])
     text_batches(df.sparkSession)
-    schema = df.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = schema_with(df.select(*keep), "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def run(batches):
         import numpy as np

@@ -7,8 +7,9 @@ import tempfile
 import uuid
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of text in one Arrow batch; a batch of the longest texts still fits a worker.
 TEXT_ROWS_PER_BATCH = 256
@@ -57,6 +58,11 @@ def kept(df: DataFrame, keep: list[str] | None, used: list[str], results: list[s
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def schema_with(df: DataFrame, ddl: str) -> StructType:
+    """The schema of df and more fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def with_positions(df: DataFrame, order: list[str], name: str, group: str | None = None, partitions: int | None = None) -> DataFrame:
     """Number the rows from 0 in the given order, within each value of `group`
     (the first ordering column) if given, as column `position`.
@@ -70,7 +76,7 @@ def with_positions(df: DataFrame, order: list[str], name: str, group: str | None
     cols = [F.col(c).asc_nulls_last() for c in order]
     ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
     ranged = ranged.sortWithinPartitions(*cols)
-    schema = df.schema.add("__part", "int").add("__local", "long")
+    schema = schema_with(df, "__part int, __local long")
     at = df.columns.index(group) if group else None
 
     def number(batches):
@@ -107,8 +113,6 @@ def with_positions(df: DataFrame, order: list[str], name: str, group: str | None
     rows = settle(ranged.mapInArrow(number, schema), name)
     keys = ["__part", group] if group else ["__part"]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
     before = before.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, token_counts
+from tidewatch.llm import bpe, mixing, token_counts, warc
 
 QUERIES = {
+    "op1_warc_seekable": warc.op1_warc_seekable,
+    "op2_source_mixing": mixing.op2_source_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_seekable": warc.OP1_SQL,
+    "op2_source_mixing": mixing.OP2_SQL,
+}

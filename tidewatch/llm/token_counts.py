@@ -13,7 +13,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import kept, text_batches
+from tidewatch.llm.common import kept, schema_with, text_batches
 from tidewatch.llm.vocabulary import TwoGenerations, default_path, vocabulary
 
 #: Entries of the broadcast table (about 3 MB): its proven bound, whatever the corpus.
@@ -66,7 +66,7 @@ def count_tokens(df: DataFrame, text_col: str = "text", path: str | None = None,
     keep = kept(df, keep, [text_col], ["n_bytes", "n_tokens", "over_limit"])
     text_batches(df.sparkSession)
     table = df.sparkSession.sparkContext.broadcast(frequent_pre_tokens(df, text_col, path, entries))
-    schema = df.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    schema = schema_with(df.select(*keep), "n_bytes long, n_tokens long, over_limit boolean")
 
     def count(batches):
         import pyarrow as pa
