@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, mixing, token_counts, warc
+from tidewatch.llm import bpe, hilbert, kd_tree, mixing, page_text, token_counts, warc
 
 QUERIES = {
     "op1_warc_seekable": warc.op1_warc_seekable,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op5_exact_top_k": kd_tree.op5_exact_top_k,
+    "op6_approximate_neighbours": hilbert.op6_approximate_neighbours,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
+    "op10_page_text": page_text.op10_page_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_seekable": warc.OP1_SQL,
     "op2_source_mixing": mixing.OP2_SQL,
+    "op5_exact_top_k": kd_tree.OP5_SQL,
 }
