@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, hilbert, kd_tree, mixing, page_text, token_counts, warc
+from tidewatch.llm import bpe, hilbert, kd_tree, mixing, page_text, surrogates, token_counts, warc
 
 QUERIES = {
     "op1_warc_seekable": warc.op1_warc_seekable,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_exact_top_k": kd_tree.op5_exact_top_k,
     "op6_approximate_neighbours": hilbert.op6_approximate_neighbours,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_surrogates": surrogates.op8_surrogates,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_page_text": page_text.op10_page_text,
 }
