@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, hilbert, kd_tree, mixing, page_text, surrogates, token_counts, warc
+from tidewatch.llm import bpe, hilbert, kd_tree, mixing, near_duplicates, page_text, quality, surrogates, token_counts, warc
 
 QUERIES = {
     "op1_warc_seekable": warc.op1_warc_seekable,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_quality": quality.op3_quality,
+    "op4_near_duplicates": near_duplicates.op4_near_duplicates,
     "op5_exact_top_k": kd_tree.op5_exact_top_k,
     "op6_approximate_neighbours": hilbert.op6_approximate_neighbours,
     "op7_token_counts": token_counts.op7_token_counts,
