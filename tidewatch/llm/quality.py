@@ -19,8 +19,8 @@ CHUNK, STEP = 512, 448
 #: Numbers that stand for a byte; bytes of a filter and from one place to the next; filters; hidden units.
 EMBED, WIDTH, HOP, FILTERS, HIDDEN = 8, 8, 2, 32, 16
 #: Labelled rows of each class that the network learns from, and chunks of each, spread over the whole text: the bound of what the driver collects, about 22 MB.
-SAMPLE_ROWS, SAMPLE_CHUNKS = 1000, 24
-STEPS, BATCH, RATE = 1_000, 32, 4e-3
+SAMPLE_ROWS, SAMPLE_CHUNKS = 900, 24
+STEPS, BATCH, RATE = 800, 32, 4e-3
 #: Chunks whose windows are laid out at once (8 MB).
 SLAB = 128
 
