@@ -29,7 +29,7 @@ COUNTERS = 1 << 18
 #: stays together however many texts it holds.
 COMMON, RARE_WEIGHT = 0.01, 1.5
 #: Rounds in which each text of a bucket meets the bucket's head.
-HEAD_ROUNDS = 2
+HEAD_ROUNDS = 4
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -201,7 +201,8 @@ class Sampler:
 
 
 def _bands(idf, bands: int, rows: int):
-    """(tid, text) to (bucket, tid, size): a bucket for each band, the total weight."""
+    """(tid, text) to (bucket, tid, size, sketch): a bucket for each band, the total
+    weight, and four bits of each hash value."""
     table = idf
 
     def run(batches):
@@ -220,7 +221,10 @@ def _bands(idf, bands: int, rows: int):
             h ^= h >> np.uint64(31)
             h = h * np.uint64(_MIX) + odd[:, 0]
             size = np.repeat(np.add.reduceat(w, starts), bands)
-            return pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(np.array(ids, object), bands), pa.binary()), pa.array(size.astype(np.float32))], names=["bucket", "tid", "size"])
+            nibbles = ((bits.reshape(len(sets), -1) * np.uint64(_MIX)) >> np.uint64(60)).reshape(len(sets), 4, -1)
+            sketch = (nibbles << (np.arange(nibbles.shape[2], dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+            sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.repeat(sketch, bands, axis=0).ravel()), 4).cast(pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(np.array(ids, object), bands), pa.binary()), pa.array(size.astype(np.float32)), sketch], names=["bucket", "tid", "size", "sketch"])
 
         for batch in batches:
             ids, sets, held = [], [], 0
@@ -265,10 +269,19 @@ def _verify(table, similarity: float):
 
 
 def text_key(text: Column) -> Column:
-    """128 bits that equal texts share, whatever their case and white space; null for
-    texts without a word."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    return F.when(F.char_length(plain) > 0, F.unhex(F.md5(plain)))
+    """128 bits that equal texts share; null for texts without a word."""
+    return F.when(text.rlike(r"[^\t-\r ]"), F.unhex(F.md5(text)))
+
+
+def unlike(a: str, b: str) -> Column:
+    """How many of the 64 hash values' four bits differ in two sketches of four longs."""
+    total = F.lit(0)
+    for k in range(4):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        folded = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        folded = folded.bitwiseOR(F.shiftrightunsigned(folded, 2))
+        total = total + F.bit_count(folded.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
 
 
 def classes(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -281,10 +294,10 @@ def classes(docs: DataFrame, text_col: str = "text", similarity: float = SIMILAR
     keyed = docs.select(text_key(F.col(text_col)).alias("tid"), F.col(text_col).alias("text")).where(F.col("tid").isNotNull())
     texts = settle(keyed.groupBy("tid").agg(F.first("text").alias("text")), "nd-texts")
     table = spark.sparkContext.broadcast(idf_table(texts))
-    members = settle(texts.mapInArrow(_bands(table, bands, rows), "bucket long, tid binary, size float"), "nd-buckets")
+    members = settle(texts.mapInArrow(_bands(table, bands, rows), "bucket long, tid binary, size float, sketch array<bigint>"), "nd-buckets")
     shared = members.groupBy("bucket").agg(F.min("tid").alias("head"), F.max("tid").alias("other")).where("head <> other")
     heads = settle(shared.select("bucket", "head"), "nd-heads")
-    members = settle(members.join(heads, "bucket").select("bucket", "tid", "size", "head"), "nd-shared")
+    members = settle(members.join(heads, "bucket").select("bucket", "tid", "size", "sketch", "head"), "nd-shared")
     some = settle(members.select("tid").distinct(), "nd-ids")
     texts = settle(texts.join(some, "tid", "left_semi"), "nd-candidates")
 
@@ -297,7 +310,7 @@ def classes(docs: DataFrame, text_col: str = "text", similarity: float = SIMILAR
     links = verified(members.where("tid <> head").select(F.col("tid").alias("a"), F.col("head").alias("b")))
     for turn in range(HEAD_ROUNDS):
         label = components(links).toDF("tid", "label")
-        members = settle(members.select("bucket", "tid", "size").join(label, "tid", "left").select("bucket", "tid", "size", F.coalesce("label", "tid").alias("label")), "nd-labelled")
+        members = settle(members.select("bucket", "tid", "size", "sketch").join(label, "tid", "left").select("bucket", "tid", "size", "sketch", F.coalesce("label", "tid").alias("label")), "nd-labelled")
         order = F.struct(F.xxhash64(F.lit(turn), "tid"), "tid", "label")
         split = members.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(order).alias("head")).where("least <> most")
         split = settle(split.select("bucket", F.col("head.tid").alias("head"), F.col("head.label").alias("head_label")), "nd-split")
@@ -305,12 +318,15 @@ def classes(docs: DataFrame, text_col: str = "text", similarity: float = SIMILAR
         if turn < HEAD_ROUNDS - 1:
             pairs = members.where("label <> head_label").select(F.least("tid", "head").alias("a"), F.greatest("tid", "head").alias("b"))
             links = settle(links.unionByName(verified(pairs)), "nd-links")
-    # what is still apart in a bucket: texts of other classes and of like total weight
+    # what is still apart in a bucket: texts of other classes, of like total weight, whose
+    # sketches differ no more than four standard deviations above what is expected
     step = math.log(1 / similarity)
-    sized = members.select("bucket", "tid", "label", "size", F.floor(F.log(F.col("size").cast("double")) / step).alias("bin"))
+    sized = members.select("bucket", "tid", "label", "size", "sketch", F.floor(F.log(F.col("size").cast("double")) / step).alias("bin"))
     near = sized.withColumn("bin", F.explode(F.array(F.col("bin"), F.col("bin") + 1)))
-    left, right = settle(sized, "nd-left"), settle(near.toDF("bucket", "tid2", "label2", "size2", "bin"), "nd-right")
+    left, right = settle(sized, "nd-left"), settle(near.toDF("bucket", "tid2", "label2", "size2", "sketch2", "bin"), "nd-right")
     alike = (F.col("label") != F.col("label2")) & (F.least("size", "size2") >= F.greatest("size", "size2") * (similarity - 1e-5))
+    apart = bands * rows * (1 - similarity) * 15 / 16
+    alike = alike & (unlike("sketch", "sketch2") <= math.ceil(apart + 4 * math.sqrt(apart * (1 - (1 - similarity) * 15 / 16))))
     pairs = left.join(right, ["bucket", "bin"]).where(alike).select(F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b"))
     links = settle(links.unionByName(verified(pairs)), "nd-links")
     return components(links).toDF("tid", "label")
@@ -320,8 +336,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each row of docs: doc_id, class_id (the smallest doc_id of the
     class) and class_rows (rows of the class).
 
-    Texts equal but for case and white space are of one class, and so are texts linked
-    by `classes`. A text without words, and a null one, is a class of its own; so the
+    Equal texts are of one class, and so are texts linked by `classes` (which heeds
+    neither case nor white space). A text without words, and a null one, is a class of its own; so the
     rows of one text-less doc_id count together. Rows without a doc_id belong to their
     text's class, whose class_id is null if no row of it has a doc_id. Repeated rows
     are of one class. Other columns are ignored. An empty table gives an empty one."""
