@@ -33,6 +33,8 @@ PATTERNS = {
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w)",
 }
 ENTITY = "|".join(PATTERNS.values())
+#: Every entity has one of these; looking for them is several times cheaper.
+SIGN = rf"[0-9@=:]|AKIA|ASIA|(?:^|[^\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 #: What stands before the entity proper in a mention.
 LEAD = {"name": rf"^(?:{MALE}|{FEMALE})\.? ", "keyed": r"^(?i:token|password|passwd|pwd|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"}
 
@@ -183,7 +185,7 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = "surrog
     are the distinct mentions of each distinct text."""
     keep = kept(docs, keep, [text_col], [text_col, "n_entities"])
     text = F.col(text_col)
-    has = F.coalesce(text.rlike(ENTITY), F.lit(False))
+    has = F.coalesce(text.rlike(SIGN) & text.rlike(ENTITY), F.lit(False))
     pattern = F.lit(ENTITY)
     clean = docs.where(~has).select(*keep, text_col, F.lit(0).cast("long").alias("n_entities"))
     marked = docs.where(has).select(*keep, text.alias("__text"), F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit("second"), text).alias("__k2"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("__found"))
