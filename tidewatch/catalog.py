@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.operators import relations, rollups, series, texts
+from tidewatch.operators import lifecycle, relations, rollups, series, texts
 
-QUERIES: dict = rollups.QUERIES | relations.QUERIES | series.QUERIES | texts.QUERIES
-ORACLE_SQL: dict[str, str] = rollups.ORACLE_SQL | relations.ORACLE_SQL | series.ORACLE_SQL | texts.ORACLE_SQL
+QUERIES: dict = rollups.QUERIES | relations.QUERIES | series.QUERIES | texts.QUERIES | lifecycle.QUERIES
+ORACLE_SQL: dict[str, str] = rollups.ORACLE_SQL | relations.ORACLE_SQL | series.ORACLE_SQL | texts.ORACLE_SQL | lifecycle.ORACLE_SQL
