@@ -30,6 +30,8 @@ COUNTERS = 1 << 18
 COMMON, RARE_WEIGHT = 0.01, 1.5
 #: Rounds in which each text of a bucket meets the bucket's head.
 HEAD_ROUNDS = 4
+#: Cells of a text's profile, and units of weight in which a cell is told (rounded up).
+CELLS, UNITS = 256, 16
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -268,6 +270,34 @@ def _verify(table, similarity: float):
     return run
 
 
+def _profiles(table):
+    """(tid, text) to (tid, profile): the weight of the shingles of each of CELLS
+    cells, in units rounded up; null if a cell holds more than the type tells."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        idf, shingles = table.value, Shingles()
+        for batch in batches:
+            found = []
+            for s, n in shingles.each(batch.column(1).to_pylist()):
+                cells = np.ceil(np.bincount((s % np.uint64(CELLS)).astype(np.int64), weights(s, n, idf), CELLS) * UNITS)
+                found.append(cells.astype(np.int16) if cells.max() < 1 << 15 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int16()))], names=["tid", "profile"])
+
+    return run
+
+
+def may_be_near(a: str, b: str, size_a: str, size_b: str, similarity: float) -> Column:
+    """Whether two profiles leave room for the similarity. What two texts share is in no
+    cell more than the lesser of both, so the sum of these is never below it: no pair
+    that is near fails. Texts without a profile pass."""
+    shared = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda total, x: total + x)
+    least = (F.col(size_a).cast("double") + F.col(size_b)) * (UNITS * (similarity / (1 + similarity) - 1e-5))
+    return F.coalesce(shared >= least, F.lit(True))
+
+
 def text_key(text: Column) -> Column:
     """128 bits that equal texts share; null for texts without a word."""
     return F.when(text.rlike(r"[^\t-\r ]"), F.unhex(F.md5(text)))
@@ -319,14 +349,18 @@ def classes(docs: DataFrame, text_col: str = "text", similarity: float = SIMILAR
             pairs = members.where("label <> head_label").select(F.least("tid", "head").alias("a"), F.greatest("tid", "head").alias("b"))
             links = settle(links.unionByName(verified(pairs)), "nd-links")
     # what is still apart in a bucket: texts of other classes, of like total weight, whose
-    # sketches differ no more than four standard deviations above what is expected
+    # sketches differ no more than four standard deviations above what is expected, and
+    # whose profiles leave room for the similarity
+    profiles = settle(texts.mapInArrow(_profiles(table), "tid binary, profile array<smallint>"), "nd-profiles")
+    members = members.join(profiles, "tid")
     step = math.log(1 / similarity)
-    sized = members.select("bucket", "tid", "label", "size", "sketch", F.floor(F.log(F.col("size").cast("double")) / step).alias("bin"))
+    sized = members.select("bucket", "tid", "label", "size", "sketch", "profile", F.floor(F.log(F.col("size").cast("double")) / step).alias("bin"))
     near = sized.withColumn("bin", F.explode(F.array(F.col("bin"), F.col("bin") + 1)))
-    left, right = settle(sized, "nd-left"), settle(near.toDF("bucket", "tid2", "label2", "size2", "sketch2", "bin"), "nd-right")
+    left, right = settle(sized, "nd-left"), settle(near.toDF("bucket", "tid2", "label2", "size2", "sketch2", "profile2", "bin"), "nd-right")
     alike = (F.col("label") != F.col("label2")) & (F.least("size", "size2") >= F.greatest("size", "size2") * (similarity - 1e-5))
     apart = bands * rows * (1 - similarity) * 15 / 16
     alike = alike & (unlike("sketch", "sketch2") <= math.ceil(apart + 4 * math.sqrt(apart * (1 - (1 - similarity) * 15 / 16))))
+    alike = alike & may_be_near("profile", "profile2", "size", "size2", similarity)
     pairs = left.join(right, ["bucket", "bin"]).where(alike).select(F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b"))
     links = settle(links.unionByName(verified(pairs)), "nd-links")
     return components(links).toDF("tid", "label")
