@@ -228,3 +228,21 @@ def test_pipeline(spark, tmp_path):
         assert i == 4 or docs.columns == columns
         assert 0 < docs.count() <= 3 * n
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_profiles_never_rule_out_what_is_shared():
+    import pyarrow as pa
+
+    class Table:
+        value = np.linspace(1, 1.5, near_duplicates.COUNTERS).astype(np.float32)
+
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(400)}" for _ in range(500)]
+    texts = [" ".join(base[:n] + [f"x{n}y{i}" for i in range(k)]) for n, k in ((500, 0), (490, 20), (400, 5), (3, 0), (500, 500), (1, 0))]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"%d" % i for i in range(len(texts))]), pa.array(texts)], names=["tid", "text"])
+    profiles = [np.array(r) for b in near_duplicates._profiles(Table)([batch]) for r in b.column(1).to_pylist()]
+    sets = [dict(zip(s.tolist(), near_duplicates.weights(s, n, Table.value))) for s, n in near_duplicates.Shingles().each(texts)]
+    for p, a in zip(profiles, sets):
+        for q, b in zip(profiles, sets):
+            shared = sum(min(a[s], b[s]) for s in a.keys() & b.keys())
+            assert np.minimum(p, q).sum() >= shared * near_duplicates.UNITS - 1e-6
