@@ -110,6 +110,15 @@ def raw_merge(spark, sf_dir):
     return kept.select("source", "lang", "doc_id", "merged", "n_chars")
 
 
+def raw_merge_content(spark, sf_dir):
+    """Documents of one source, language and whole text, white space aside: the longest
+    stays, then the first. raw_merge, as its SQL has it, merges by the beginning only."""
+    content = F.sha2(F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " ")), 256)
+    rows = table(spark, sf_dir, "documents").groupBy("source", "lang", content.alias("content"))
+    kept = rows.agg(F.max_by("doc_id", F.struct(F.col("n_chars"), -F.col("doc_id"))).alias("doc_id"), F.count(F.lit(1)).alias("merged"), F.max("n_chars").alias("n_chars"))
+    return kept.select("source", "lang", "doc_id", "merged", "n_chars")
+
+
 def notifications(spark, sf_dir):
     """One notification a story in the last three days: the worst article, then the newest."""
     rows = articles(spark, sf_dir).where((F.col("seen_at") >= F.lit("2024-01-28").cast("timestamp_ntz")) & (F.col("negative") >= 0.66))
@@ -131,7 +140,7 @@ def agreement_rate(spark, sf_dir):
     return by.select("lang", "n", F.round("po", 6).alias("agreement"), F.round(F.when(chance < 1, (F.col("po") - chance) / (1 - chance)), 6).alias("kappa"))
 
 
-QUERIES = {f.__name__: f for f in (data_quality_state, source_health, collection_incidents, duplicate_rule, band_decision, set_diff_sync, snapshot_first8, tier_lookup, group_split, error_sanitize, period_cohort, raw_merge, notifications, authoritative_pick, agreement_rate)}
+QUERIES = {f.__name__: f for f in (data_quality_state, source_health, collection_incidents, duplicate_rule, band_decision, set_diff_sync, snapshot_first8, tier_lookup, group_split, error_sanitize, period_cohort, raw_merge, raw_merge_content, notifications, authoritative_pick, agreement_rate)}
 
 ORACLE_SQL = {
     "data_quality_state": f"""WITH {ATTEMPTS_SQL}, b AS (SELECT company_id, slot, source, bool_or(succeeded) AS ok FROM attempts GROUP BY ALL),
@@ -162,6 +171,9 @@ ORACLE_SQL = {
       SELECT day, CASE WHEN worst >= 0.85::DOUBLE THEN 'risk' ELSE 'non_risk' END AS state, count(*) AS stories, CAST(sum(n) AS BIGINT) AS articles FROM s WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' AND n >= 2 GROUP BY 1, 2""",
     "raw_merge": """SELECT source, lang, doc_id, count(*) OVER w AS merged, n_chars FROM documents WINDOW w AS (PARTITION BY source, lang, substring(text, 1, 40))
       QUALIFY row_number() OVER (PARTITION BY source, lang, substring(text, 1, 40) ORDER BY n_chars DESC, doc_id) = 1""",
+    "raw_merge_content": r"""WITH d AS (SELECT *, sha256(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) AS content FROM documents)
+      SELECT source, lang, doc_id, count(*) OVER (PARTITION BY source, lang, content) AS merged, n_chars FROM d
+      QUALIFY row_number() OVER (PARTITION BY source, lang, content ORDER BY n_chars DESC, doc_id) = 1""",
     "notifications": f"""WITH {ARTICLES_SQL} SELECT company_id, story, article_id, seen_at FROM articles WHERE seen_at >= TIMESTAMP '2024-01-28' AND negative >= 0.66::DOUBLE
       QUALIFY row_number() OVER (PARTITION BY company_id, story ORDER BY negative DESC, article_id DESC) = 1""",
     "authoritative_pick": f"""WITH {ATTEMPTS_SQL} SELECT company_id, source, attempt_id, succeeded FROM attempts QUALIFY row_number() OVER (PARTITION BY company_id, source ORDER BY succeeded DESC, slot DESC, attempt_id DESC) = 1""",
