@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF
 
-from tidewatch.operators import lifecycle
+from tidewatch.operators import lifecycle, texts
 
 
 @pytest.fixture
@@ -24,3 +24,21 @@ def test_texts_with_one_beginning_stay_apart(spark, tables):
     d = tables(documents=("doc_id long, text string, lang string, source string, n_chars long", [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]))
     got = sorted(tuple(r) for r in lifecycle.raw_merge_content(spark, d).collect())
     assert got == [("web", "en", 0, 1, len(texts[0])), ("web", "en", 2, 3, len(texts[2]))]
+
+
+def test_short_words_count(spark, tables):
+    d = tables(benchmark=("item_id long, text string", [(1, "we go to town"), (2, "we go on"), (3, "Town\n"), (4, "else")]))
+    got = sorted(tuple(r) for r in texts.token_jaccard_pairs(spark, d).collect())
+    assert got == [(1, 2, 0.4), (1, 3, 0.25)]
+
+
+@pytest.mark.parametrize("at_least", [0.0, 0.1, 0.3, 0.5, 1.0])
+def test_first_words_miss_no_pair(spark, at_least):
+    import random
+
+    draw = random.Random(7)
+    sets = {i: sorted({f"w{int(30 * draw.random() ** 2)}" for _ in range(draw.randint(1, 30))}) for i in range(60)}
+    sets[60] = sets[3]
+    got = {(r["a"], r["b"]): r["jaccard"] for r in texts.jaccard_pairs(spark.createDataFrame(list(sets.items()), "item_id long, words array<string>"), at_least).collect()}
+    share = {(a, b): len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) for a in sets for b in sets if a < b}
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in share.items() if v > 0 and v >= at_least - 1e-9}

@@ -56,6 +56,31 @@ def token_jaccard_items(spark, sf_dir):
     return both.select("a", "b", F.round(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), 6).alias("jaccard"))
 
 
+def jaccard_pairs(items, at_least=0.0):
+    """All pairs a < b of items (item_id, words without repeats) that share a word and
+    whose words have a Jaccard similarity of at_least. Words are put in order from the
+    rarest; a similar pair shares one of the first n - ceil(at_least * n) + 1 of each
+    side's n words, so only these make candidates, and all words verify them."""
+    each = items.select("item_id", F.explode("words").alias("word"))
+    ranked = each.join(each.groupBy("word").agg(F.count(F.lit(1)).alias("held")), "word")
+    sets = ranked.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("held", "word"))), lambda x: x["word"]).alias("words"))
+    least = F.greatest(F.ceil(F.size("words") * F.lit(float(at_least)) - 1e-9), F.lit(1))
+    first = sets.select("item_id", F.explode(F.slice("words", F.lit(1), (F.size("words") - least + 1).cast("int"))).alias("word"))
+    met = first.toDF("a", "word").join(first.toDF("b", "word"), "word").where("a < b").select("a", "b").distinct()
+    full = met.join(sets.toDF("a", "words_a"), "a").join(sets.toDF("b", "words_b"), "b")
+    both = F.size(F.array_intersect("words_a", "words_b"))
+    jaccard = both / (F.size("words_a") + F.size("words_b") - both)
+    return full.where(jaccard >= at_least - 1e-9).select("a", "b", F.round(jaccard, 6).alias("jaccard"))
+
+
+def token_jaccard_pairs(spark, sf_dir):
+    """Pairs of benchmark items that share a word of any length, with the Jaccard
+    similarity of all their words. token_jaccard_items, as its SQL has it, leaves out
+    the words below five letters."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \n]+"), lambda w: w != ""))
+    return jaccard_pairs(table(spark, sf_dir, "benchmark").select("item_id", words.alias("words")))
+
+
 def vector_relative_cut(spark, sf_dir):
     """For ten fixed query vectors: the vectors of the same label with cosine of at
     least 0.2, at most five, none below 0.92 of the best."""
@@ -101,7 +126,7 @@ def threshold_grid(spark, sf_dir):
     return by.select("cell", tp.alias("tp"), taken.alias("taken"), F.round(5 * tp / (4 * total + taken), 6).alias("f2"))
 
 
-QUERIES = {f.__name__: f for f in (url_normalize, source_domain_credibility, content_hash_dedupe, ad_rules_score, keyword_share, token_jaccard_items, vector_relative_cut, first_turn_of_conversation, binary_metrics, rank_auc, threshold_grid)}
+QUERIES = {f.__name__: f for f in (url_normalize, source_domain_credibility, content_hash_dedupe, ad_rules_score, keyword_share, token_jaccard_items, token_jaccard_pairs, vector_relative_cut, first_turn_of_conversation, binary_metrics, rank_auc, threshold_grid)}
 
 _DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^(www|m|blog)\.', '')"
 _LABELLED = "SELECT d.*, quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
@@ -115,6 +140,8 @@ ORACLE_SQL = {
     "keyword_share": r"WITH w AS (SELECT lang, regexp_split_to_array(lower(text), '[ \n]+') AS words FROM documents) SELECT lang, count(*) AS n, " + ", ".join(f"round(avg(list_contains(words, '{w}')::INT), 6) AS share_{w}" for w in KEYWORDS) + " FROM w GROUP BY lang",
     "token_jaccard_items": r"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \n]+'), lambda w: length(w) >= 5)) AS words FROM benchmark)
       SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))), 6) AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.words, b.words)) > 0""",
+    "token_jaccard_pairs": r"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \n]+'), lambda w: w <> '')) AS words FROM benchmark)
+      SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))), 6) AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.words, b.words)) > 0""",
     "vector_relative_cut": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
       s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e JOIN e q ON q.label = e.label AND q.vec_id < 10 AND e.vec_id <> q.vec_id),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM s WHERE score >= 0.2)
