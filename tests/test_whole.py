@@ -1,7 +1,7 @@
 """Results that a cut in the operators would change."""
 
 import pytest
-from conftest import SF
+from conftest import SF, same
 
 from tidewatch.operators import lifecycle, texts
 
@@ -42,3 +42,12 @@ def test_first_words_miss_no_pair(spark, at_least):
     got = {(r["a"], r["b"]): r["jaccard"] for r in texts.jaccard_pairs(spark.createDataFrame(list(sets.items()), "item_id long, words array<string>"), at_least).collect()}
     share = {(a, b): len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) for a in sets for b in sets if a < b}
     assert got == {k: pytest.approx(v, abs=1e-6) for k, v in share.items() if v > 0 and v >= at_least - 1e-9}
+
+
+def test_all_queries_of_the_search_over_shards(spark, duck, monkeypatch):
+    monkeypatch.setattr(texts, "SHARD_ROWS", 60)
+    monkeypatch.setattr(texts, "BLOCK_QUERIES", 3)
+    df = texts.vector_relative_cut_all(spark, SF)
+    asked = {r["query_id"] for r in df.collect()}
+    assert len(asked) > 1 and max(asked) >= 50
+    same(df, duck, texts.ORACLE_SQL["vector_relative_cut_all"])

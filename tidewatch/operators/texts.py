@@ -11,6 +11,8 @@ from tidewatch.sources.tables import table
 # Words of the advertising and keyword rules (fixed values).
 AD_WORDS = ["licensed", "password", "token", "free", "sale"]
 KEYWORDS = ["the", "der", "les", "que"]
+# Query vectors of one block and vectors of one shard, over all labels.
+BLOCK_QUERIES, SHARD_ROWS = 1_024, 2_048
 
 
 def url_normalize(spark, sf_dir):
@@ -93,6 +95,45 @@ def vector_relative_cut(spark, sf_dir):
     return ranked.where("score >= 0.92 * best").select("query_id", "rank", "vec_id", "score")
 
 
+def _top_five(queries, rows):
+    """The five best of a shard's rows for each of a block's queries, scores rounded as
+    in the SQL, the smaller vec_id first among equals."""
+    import numpy as np
+    import pyarrow as pa
+
+    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    if not queries.num_rows or not rows.num_rows:
+        return out.empty_table()
+    rows = rows.sort_by("vec_id")
+    unit = lambda t: (v := np.array(t.column("v").to_pylist(), dtype=np.float64)) / np.linalg.norm(v, axis=1, keepdims=True)
+    ids, query_ids = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
+    scores = np.floor(unit(queries) @ unit(rows).T * 1e6 + 0.5) / 1e6
+    scores[query_ids[:, None] == ids[None, :]] = -np.inf
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    found = np.take_along_axis(scores, best, axis=1)
+    q, k = np.nonzero(found >= 0.2)
+    return pa.Table.from_arrays([pa.array(query_ids[q]), pa.array(ids[best[q, k]]), pa.array(found[q, k])], schema=out)
+
+
+def vector_relative_cut_all(spark, sf_dir):
+    """For each vector whose id is divisible by 50: the vectors of the same label with
+    cosine of at least 0.2, at most five, none below 0.92 of the best. Blocks of queries
+    meet shards of rows, and the shards' best are merged. vector_relative_cut, as its
+    SQL has it, asks for ten vectors only."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v")).where("label IS NOT NULL AND embedding IS NOT NULL")
+    n = rows.count()
+    shards, blocks = -(-n // SHARD_ROWS) or 1, -(-n // (50 * BLOCK_QUERIES)) or 1
+    part = lambda k: F.pmod(F.xxhash64("vec_id"), F.lit(k))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<long>"))
+    queries = rows.where("vec_id % 50 = 0").withColumn("block", part(blocks)).withColumn("shard", each(shards))
+    sharded = rows.withColumn("shard", part(shards)).withColumn("block", each(blocks))
+    keys = ["label", "block", "shard"]
+    scored = queries.groupBy(*keys).cogroup(sharded.groupBy(*keys)).applyInArrow(_top_five, "query_id long, vec_id long, score double")
+    of = Window.partitionBy("query_id")
+    ranked = scored.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), "vec_id")).cast("long")).where("rank <= 5").withColumn("best", F.max("score").over(of))
+    return ranked.where("score >= 0.92 * best").select("query_id", "rank", "vec_id", "score")
+
+
 def first_turn_of_conversation(spark, sf_dir):
     """First and last turn, turns by role, per conversation."""
     rows = table(spark, sf_dir, "conversations")
@@ -126,7 +167,7 @@ def threshold_grid(spark, sf_dir):
     return by.select("cell", tp.alias("tp"), taken.alias("taken"), F.round(5 * tp / (4 * total + taken), 6).alias("f2"))
 
 
-QUERIES = {f.__name__: f for f in (url_normalize, source_domain_credibility, content_hash_dedupe, ad_rules_score, keyword_share, token_jaccard_items, token_jaccard_pairs, vector_relative_cut, first_turn_of_conversation, binary_metrics, rank_auc, threshold_grid)}
+QUERIES = {f.__name__: f for f in (url_normalize, source_domain_credibility, content_hash_dedupe, ad_rules_score, keyword_share, token_jaccard_items, token_jaccard_pairs, vector_relative_cut, vector_relative_cut_all, first_turn_of_conversation, binary_metrics, rank_auc, threshold_grid)}
 
 _DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^(www|m|blog)\.', '')"
 _LABELLED = "SELECT d.*, quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
@@ -146,6 +187,10 @@ ORACLE_SQL = {
       s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e JOIN e q ON q.label = e.label AND q.vec_id < 10 AND e.vec_id <> q.vec_id),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM s WHERE score >= 0.2)
       SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5 AND score >= 0.92 * best""",
+    "vector_relative_cut_all": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+      s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e JOIN e q ON q.label = e.label AND q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM s WHERE score >= 0.2)
+      SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5 AND score >= 0.92 * best""",
     "first_turn_of_conversation": "SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS user_turns, arg_min(text, turn) AS first_text, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
     "binary_metrics": f"""WITH r AS (SELECT quality = 1 AS y, NOT contains(text, '!!') AS p FROM ({_LABELLED})), c AS (SELECT count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE NOT y AND p) AS fp, count(*) FILTER (WHERE y AND NOT p) AS fn, count(*) FILTER (WHERE NOT y AND NOT p) AS tn FROM r)
       SELECT tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM c""",
