@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF, same
 
-from tidewatch.operators import lifecycle, texts
+from tidewatch.operators import lifecycle, rollups, texts
 
 
 @pytest.fixture
@@ -51,3 +51,32 @@ def test_all_queries_of_the_search_over_shards(spark, duck, monkeypatch):
     asked = {r["query_id"] for r in df.collect()}
     assert len(asked) > 1 and max(asked) >= 50
     same(df, duck, texts.ORACLE_SQL["vector_relative_cut_all"])
+
+
+def test_no_value_holds_a_whole_company(spark, duck):
+    df = rollups.row_set_checksum(spark, SF)
+    same(df, duck, rollups.ORACLE_SQL["row_set_checksum"])
+    assert "collect_list" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_checksum_over_many_ranges_and_batches(spark, tables):
+    import datetime as dt
+    import hashlib
+    from collections import defaultdict
+
+    events = [(i, 7 if i % 3 else i, dt.datetime(2024, 1, 1), "view", float(i % 100), '{"k": 1}') for i in range(3000)]
+    d = tables(events=("event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string", events))
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "50"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r["company_id"]: r["digest"] for r in rollups.row_set_checksum(spark, d).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = defaultdict(list)
+    for i, u, _, kind, value, _ in events:
+        label = "negative" if value / 100 >= 0.66 else "neutral" if value / 100 >= 0.33 else "positive"
+        want[u % 50].append(hashlib.sha256(f"{i}|{kind}|{label}".encode()).hexdigest())
+    assert got == {k: hashlib.sha256(",".join(sorted(v)).encode()).hexdigest() for k, v in want.items()}

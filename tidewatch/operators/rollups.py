@@ -102,10 +102,63 @@ def duplicate_keys(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+#: Row digests in one piece of a company's joined text.
+PIECE_ROWS = 64
+
+
+def _pieces(batches):
+    """Sorted (company_id, h) to pieces of the joined digests, numbered in order."""
+    from itertools import groupby
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    part, piece = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        companies, pieces, numbers = [], [], []
+        for company, pairs in groupby(zip(*(c.to_pylist() for c in batch.columns)), key=lambda x: x[0]):
+            hashes = [h for _, h in pairs]
+            for i in range(0, len(hashes), PIECE_ROWS):
+                companies.append(company)
+                pieces.append(",".join(hashes[i : i + PIECE_ROWS]))
+                numbers.append(piece)
+                piece += 1
+        yield pa.RecordBatch.from_arrays([pa.array(companies, batch.schema.types[0]), pa.array([part] * len(pieces), pa.int32()), pa.array(numbers, pa.int64()), pa.array(pieces, pa.string())], names=["company_id", "part", "number", "piece"])
+
+
+def _digests(batches):
+    """Pieces in order of company and number to one digest a company."""
+    import hashlib
+
+    import pyarrow as pa
+
+    kind, company, state = None, None, None
+    for batch in batches:
+        kind, companies, digests = batch.schema.types[0], [], []
+        for key, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if state is not None and key == company:
+                state.update(b",")
+            else:
+                if state is not None:
+                    companies.append(company)
+                    digests.append(state.hexdigest())
+                company, state = key, hashlib.sha256()
+            state.update(piece.encode())
+        yield pa.RecordBatch.from_arrays([pa.array(companies, kind), pa.array(digests, pa.string())], names=["company_id", "digest"])
+    if state is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([company], kind), pa.array([state.hexdigest()], pa.string())], names=["company_id", "digest"])
+
+
 def row_set_checksum(spark, sf_dir):
-    """A digest of each company's set of articles, whatever their order."""
+    """A digest of each company's set of articles, whatever their order. The rows'
+    digests are sorted by range partitions and reach the company's digest in pieces, so
+    no value and no task's memory grows with the articles of a company."""
     each = F.sha2(F.concat_ws("|", "article_id", "source", "label"), 256)
-    return articles(spark, sf_dir).groupBy("company_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(each)), ","), 256).alias("digest"))
+    rows = articles(spark, sf_dir).select("company_id", each.alias("h"))
+    company = f"company_id {dict(rows.dtypes)['company_id']}"
+    pieces = rows.repartitionByRange("company_id", "h").sortWithinPartitions("company_id", "h").mapInArrow(_pieces, f"{company}, part int, number long, piece string")
+    ordered = pieces.repartition("company_id").sortWithinPartitions("company_id", "part", "number").select("company_id", "piece")
+    return ordered.mapInArrow(_digests, f"{company}, digest string")
 
 
 QUERIES = {f.__name__: f for f in (dashboard_daily, dashboard_totals_filter, company_correlated_counts, latest_filter_result, filter_summary, eligible_having, story_sentiment, source_concentration, label_counts_zero_filled, json_group, attempt_coverage, decimal_revenue, hierarchy_rollup, duplicate_keys, row_set_checksum)}
