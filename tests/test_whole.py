@@ -1,10 +1,14 @@
 """Results that a cut in the operators would change."""
 
+import datetime as dt
+
 import pytest
 from conftest import SF, same
 
 from tidewatch.operators import lifecycle, rollups, texts
 
+EVENTS = "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string"
+
 
 @pytest.fixture
 def tables(spark, tmp_path):
@@ -60,12 +64,11 @@ def test_no_value_holds_a_whole_company(spark, duck):
 
 
 def test_checksum_over_many_ranges_and_batches(spark, tables):
-    import datetime as dt
     import hashlib
     from collections import defaultdict
 
     events = [(i, 7 if i % 3 else i, dt.datetime(2024, 1, 1), "view", float(i % 100), '{"k": 1}') for i in range(3000)]
-    d = tables(events=("event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string", events))
+    d = tables(events=(EVENTS, events))
     conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "50"}
     old = {k: spark.conf.get(k) for k in conf}
     try:
@@ -80,3 +83,11 @@ def test_checksum_over_many_ranges_and_batches(spark, tables):
         label = "negative" if value / 100 >= 0.66 else "neutral" if value / 100 >= 0.33 else "positive"
         want[u % 50].append(hashlib.sha256(f"{i}|{kind}|{label}".encode()).hexdigest())
     assert got == {k: hashlib.sha256(",".join(sorted(v)).encode()).hexdigest() for k, v in want.items()}
+
+
+def test_a_sign_up_hides_no_duplicate(spark, tables):
+    start = dt.datetime(2024, 1, 1)
+    kinds = [(1, "view", 0), (2, "signup", 2), (3, "signup", 3), (4, "view", 5), (5, "view", 30), (6, "signup", 31), (7, "view", 46), (8, "signup", 47)]
+    d = tables(events=(EVENTS, [(i, 7, start + dt.timedelta(minutes=m), kind, 1.0, '{"k": 1}') for i, kind, m in kinds]))
+    got = {r["article_id"]: r["duplicate_of"] for r in lifecycle.duplicate_rule(spark, d).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: 1, 5: None, 6: None, 7: None, 8: None}

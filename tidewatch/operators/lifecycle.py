@@ -39,11 +39,13 @@ def collection_incidents(spark, sf_dir):
 
 def duplicate_rule(spark, sf_dir):
     """An article repeats the story's earlier one if it comes within fifteen minutes;
-    sign-ups, which stand for comments, are never duplicates."""
-    before = Window.partitionBy("company_id", "story").orderBy("article_id")
-    near = F.col("seen_at") <= F.lag("seen_at").over(before) + F.expr("INTERVAL 15 MINUTES")
-    speaks = (F.col("source") != "signup") & (F.lag("source").over(before) != "signup")
-    return articles(spark, sf_dir).select("article_id", F.when(near & speaks, F.lag("article_id").over(before)).alias("duplicate_of"))
+    sign-ups, which stand for comments, are never duplicates and are passed over."""
+    before = Window.partitionBy("company_id", "story").orderBy("article_id").rowsBetween(Window.unboundedPreceding, -1)
+    speaks = F.col("source") != "signup"
+    earlier = F.last(F.when(speaks, F.struct("article_id", "seen_at")), ignorenulls=True).over(before)
+    rows = articles(spark, sf_dir).withColumn("earlier", earlier)
+    near = F.col("seen_at") <= F.col("earlier.seen_at") + F.expr("INTERVAL 15 MINUTES")
+    return rows.select("article_id", F.when(near & speaks, F.col("earlier.article_id")).alias("duplicate_of"))
 
 
 def band_decision(spark, sf_dir):
