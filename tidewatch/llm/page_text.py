@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,23 +26,85 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
     re.S | re.I,
 )
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_NAMED = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ASIDE = frozenset("nav footer aside form menu button dialog".split())
 _OWN = frozenset(("article", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that no name takes away, and those on which an id is an anchor only.
+_NEVER = frozenset("html body".split()) | _OWN | _HEADINGS
+_ANCHORS = frozenset("section p li dt dd td th tr blockquote figure pre".split())
+#: Elements whose end tag is optional; those that a start tag ends, and what bounds the search.
+_OPTIONAL = frozenset("p li dt dd tr td th thead tbody tfoot option caption".split())
+_IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, set())}
+_IMPLIED |= dict.fromkeys(("td", "th"), ({"td", "th"}, {"tr", "table"})) | {"tr": ({"tr"}, {"table"})} | dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot"}, {"table"}))
 _PURPOSE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget",
     re.I,
 )
 
 
+def _extents(tags: list) -> dict[int, tuple[int, bool]]:
+    """Of each block's start tag the index of the tag that ends it (the number of tags,
+    if none does), and whether that is its own end tag. A start tag ends an open p and
+    what _IMPLIED says, a parent's end tag all that is open in it."""
+    found: dict[int, tuple[int, bool]] = {}
+    opened: list[tuple[str, int]] = []
+    count: Counter = Counter()
+
+    def end(depth: int, at: int, own: bool) -> None:
+        while len(opened) > depth:
+            name, start = opened.pop()
+            count[name] -= 1
+            found[start] = (at, own and len(opened) == depth)
+
+    for i, m in enumerate(tags):
+        if not m[3]:
+            continue
+        name = m[3].lower()
+        if (name not in _BLOCKS and name != "button") or name in _VOID:
+            continue
+        names, bounds = ({name}, set() if name in ("table", "body", "html", "td", "th", "tr") else {"td", "th", "table"}) if m[2] else _IMPLIED.get(name, (set(), set()))
+        if not m[2] and opened and opened[-1][0] == "p" and name != "button":
+            end(len(opened) - 1, i, False)
+        for depth in range(len(opened) - 1, -1, -1) if any(count[n] for n in names) else ():
+            if opened[depth][0] in names:
+                end(depth, i, bool(m[2]))
+                break
+            if opened[depth][0] in bounds:
+                break
+        if not m[2] and not m[4].endswith("/"):
+            opened.append((name, i))
+            count[name] += 1
+    end(0, len(tags), False)
+    return found
+
+
+def _named(name: str, attributes: str, own: int) -> bool:
+    """Whether a whole class, id, role or label says that an element is no text. An id
+    may be an anchor; a header in an article holds its title."""
+    if name in _NEVER or not attributes:
+        return False
+    for kind, value in _NAMED.findall(attributes):
+        if kind.lower() != "id" or name not in _ANCHORS:
+            for token in value.strip("\"'").split():
+                if _PURPOSE.fullmatch(token) and not (own and token.lower() == "header"):
+                    return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, bool]]:
     """The lines of a page in order, without those of named template parts: (text,
-    whether it stands in an article or main element)."""
+    whether it stands in an article or main element). No name takes away an article, a
+    main element or what holds one, and a part that is never closed ends before them."""
     out: list[tuple[str, bool]] = []
     text: list[str] = []
-    own, inside, depth, at = 0, "", 0, 0
+    tags = list(_TOKEN.finditer(page))
+    ends_at = _extents(tags)
+    mains = [i for i, m in enumerate(tags) if m[3] and not m[2] and m[3].lower() == "main"]
+    bodies = [i for i, m in enumerate(tags) if m[3] and not m[2] and m[3].lower() in _OWN]
+    own, gone, at = 0, -1, 0
 
     def close() -> None:
         line = " ".join(entities.unescape("".join(text)).split())
@@ -49,39 +112,44 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         if line:
             out.append((line, own > 0))
 
-    for m in _TOKEN.finditer(page):
-        if not inside and m.start() > at:
+    def following(starts: list[int], i: int, end: int) -> int:
+        at = bisect_left(starts, i)
+        return starts[at] if at < len(starts) else end
+
+    def left_out(i: int, name: str, attributes: str) -> int:
+        """The tag up to which the element is left out, or -1."""
+        aside = name in _ASIDE or (name == "header" and not own)
+        if i not in ends_at or not (aside or _named(name, attributes, own)):
+            return -1
+        end, closed = ends_at[i]
+        first = following(bodies, i, end)
+        if first >= end:
+            return end
+        if not closed and name not in _OPTIONAL or name in ("form", "header"):
+            return first
+        if aside:
+            return min(end, following(mains, i, end))
+        return -1
+
+    for i, m in enumerate(tags):
+        if i > gone and m.start() > at:
             text.append(page[at : m.start()])
         at = m.end()
-        name = m[3]
-        if not name:
+        if i < gone or not m[3]:
             continue
-        name, ends = name.lower(), m[2] == "/"
-        if inside:
-            if name == "main" and not ends and inside != "main":
-                inside = ""  # what was open was never closed
-            else:
-                if name == inside:
-                    depth += -1 if ends else not m[4].endswith("/")
-                    if depth == 0:
-                        inside = ""
-                continue
+        name, ends = m[3].lower(), m[2] == "/"
         if name == "br":
             text.append(" ")
         elif name in _BLOCKS:
             close()
-            if not ends:
-                aside = name in _ASIDE or (name == "header" and not own)
-                if not aside and name not in ("html", "body") and m[4]:
-                    aside = any(_PURPOSE.search(v.strip("\"'")) for v in _NAMED.findall(m[4]))
-                if aside and name not in _VOID:
-                    inside, depth = name, 1
-                    continue
+            if not ends and (to := left_out(i, name, m[4])) >= 0:
+                gone = to
+                continue
             if name in _OWN:
                 own = max(0, own + (-1 if ends else 1))
         elif name == "button" and not ends:
-            inside, depth = name, 1
-    if not inside:
+            gone = left_out(i, name, m[4])
+    if gone < len(tags):
         text.append(page[at:])
     close()
     return out
