@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import kept, schema_with, text_batches
@@ -18,8 +18,8 @@ from tidewatch.llm.common import kept, schema_with, text_batches
 CHUNK, STEP = 512, 448
 #: Numbers that stand for a byte; bytes of a filter and from one place to the next; filters; hidden units.
 EMBED, WIDTH, HOP, FILTERS, HIDDEN = 8, 8, 2, 32, 16
-#: Labelled rows of each class that the network learns from, and chunks of each, spread over the whole text: the bound of what the driver collects, about 22 MB.
-SAMPLE_ROWS, SAMPLE_CHUNKS = 900, 24
+#: Labelled rows of each class that the network learns from, with all their chunks, and the bytes of these chunks: the bound of what the driver collects.
+SAMPLE_ROWS, SAMPLE_BYTES = 900, 12_000_000
 STEPS, BATCH, RATE = 800, 32, 4e-3
 #: Chunks whose windows are laid out at once (8 MB).
 SLAB = 128
@@ -173,21 +173,14 @@ def fit(rows: list[tuple[bytes, int]], prior: float, seed: int = 11) -> dict:
     return net
 
 
-def spread_chunks(data: bytes, most: int = SAMPLE_CHUNKS) -> bytes:
-    """At most `most` chunks, evenly spread over the whole text, joined."""
-    import numpy as np
-
-    chunks = chunked(data)
-    return chunks[np.unique(np.linspace(0, len(chunks) - 1, min(most, len(chunks))).round().astype(int))].tobytes()
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict:
     """Learn from the labels that are not held out: of each class the `sample_rows`
-    rows first in an order by hash."""
+    rows first in an order by hash, as far as they fit SAMPLE_BYTES. Texts are learnt
+    from whole, as they are scored."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     counts = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     pick = lambda q: rows.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -198,11 +191,14 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample_row
         import pyarrow as pa
 
         for batch in batches:
-            data = [spread_chunks((t or "").encode()) for t in batch.column(1).to_pylist()]
+            data = [chunked((t or "").encode()).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), batch.column(2)], names=["doc_id", "data", "quality"])
 
+    chunks = 1 + F.greatest(F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) - CHUNK) / STEP), F.lit(0))
+    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.dropDuplicates(["doc_id"]).withColumn("taken", F.sum(chunks * CHUNK).over(order)).where(F.col("taken") <= SAMPLE_BYTES)
     cuts = found.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int")).mapInArrow(cut, "doc_id long, data binary, quality int")
-    sample = sorted((r["doc_id"], bytes(r["data"]), r["quality"]) for r in cuts.dropDuplicates(["doc_id"]).collect())
+    sample = sorted((r["doc_id"], bytes(r["data"]), r["quality"]) for r in cuts.collect())
     total = sum(counts.values())
     return fit([(x, y) for _, x, y in sample], counts.get(1, 0) / total if total else 0.5)
 
