@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of text in one Arrow batch; a batch of the longest texts still fits a worker.
-TEXT_ROWS_PER_BATCH = 256
+#: Bounds of one Arrow batch of texts; a batch ends where the first of them is met.
+TEXT_ROWS_PER_BATCH, TEXT_BYTES_PER_BATCH = 256, 16 << 20
 
 _local_scratch: list[str] = []
 
@@ -31,8 +31,24 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_scratch[0]
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{scratch_root(spark)}/tidewatch/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once the results that
+    read them are written. Does nothing if there are none."""
+    _delete(spark, scratch_folder(spark))
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -41,12 +57,27 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     adaptive execution can split when a key is hot."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    settled.settled_at = path
+    return settled
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more. Frames made from a settled
+    one keep no file of their own; they must be settled first."""
+    for df in tables:
+        _delete(df.sparkSession, df.settled_at)
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS_PER_BATCH) -> None:
-    """Bound the Arrow batches of this session by rows, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by rows and bytes, as texts may be long.
+    The session's own bounds stay where they are lower. A plan reads them when it
+    runs, which is after the operator has returned, so they cannot be put back."""
+    for name, most in (("maxRecordsPerBatch", TEXT_ROWS_PER_BATCH), ("maxBytesPerBatch", TEXT_BYTES_PER_BATCH)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def kept(df: DataFrame, keep: list[str] | None, used: list[str], results: list[str]) -> list[str]:
@@ -72,7 +103,7 @@ def with_positions(df: DataFrame, order: list[str], name: str, group: str | None
     give the offsets. No task ever sees more than its own range of rows. The
     result is a settled table, so positions do not change between reads.
     """
-    spark = df.sparkSession
+    df = settle(df, f"{name}-rows")  # range bounds are sampled from it, so it is read twice
     cols = [F.col(c).asc_nulls_last() for c in order]
     ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
     ranged = ranged.sortWithinPartitions(*cols)
@@ -111,6 +142,7 @@ def with_positions(df: DataFrame, order: list[str], name: str, group: str | None
             )
 
     rows = settle(ranged.mapInArrow(number, schema), name)
+    release(df)
     keys = ["__part", group] if group else ["__part"]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))

@@ -3,20 +3,22 @@
 Equal texts are grouped first. Of each distinct text, improved consistent weighted
 sampling draws hash values whose chance to agree between two texts is their weighted
 Jaccard similarity; they are banded, and texts that meet in a band's bucket are
-verified by their exact weighted similarity. In a bucket each text is compared with
-one head only; what heads leave apart is compared across the parts they leave, so
-no link is lost and no group yields all its pairs.
+verified by their exact weighted similarity. In a bucket all texts are compared with
+a head, a few times over, and a head is then done with. Texts that are still apart in
+a bucket meet by an exact prefix filter: only if they share one of the rarest shingles
+without which a text cannot reach the similarity. So no link is lost, and no group
+yields all its pairs, whatever line or passage its texts share.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import settle, text_batches
-from tidewatch.llm.components import components
+from tidewatch.llm.common import release, settle, text_batches
+from tidewatch.llm.components import merged
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Bands and hash values of each: at similarity 0.8, all bands miss with 0.0002.
@@ -27,11 +29,11 @@ COUNTERS = 1 << 18
 #: Texts' share from which a shingle weighs less, and the weight of a rare shingle
 #: against one that all texts have. As the ratio is bounded, a group of near copies
 #: stays together however many texts it holds.
-COMMON, RARE_WEIGHT = 0.01, 1.5
-#: Rounds in which each text of a bucket meets the bucket's head.
-HEAD_ROUNDS = 4
-#: Cells of a text's profile, and units of weight in which a cell is told (rounded up).
-CELLS, UNITS = 256, 16
+COMMON, RARE_WEIGHT = 0.002, 1.5
+#: Rounds in which the texts of a bucket meet a head, before the prefix filter.
+HEAD_ROUNDS = 2
+#: What sums of weights may differ by, against their size.
+ROUNDING = 1e-5
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -203,8 +205,7 @@ class Sampler:
 
 
 def _bands(idf, bands: int, rows: int):
-    """(tid, text) to (bucket, tid, size, sketch): a bucket for each band, the total
-    weight, and four bits of each hash value."""
+    """(tid, text) to (bucket, tid, size): a bucket for each band, the total weight."""
     table = idf
 
     def run(batches):
@@ -223,10 +224,7 @@ def _bands(idf, bands: int, rows: int):
             h ^= h >> np.uint64(31)
             h = h * np.uint64(_MIX) + odd[:, 0]
             size = np.repeat(np.add.reduceat(w, starts), bands)
-            nibbles = ((bits.reshape(len(sets), -1) * np.uint64(_MIX)) >> np.uint64(60)).reshape(len(sets), 4, -1)
-            sketch = (nibbles << (np.arange(nibbles.shape[2], dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
-            sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.repeat(sketch, bands, axis=0).ravel()), 4).cast(pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(np.array(ids, object), bands), pa.binary()), pa.array(size.astype(np.float32)), sketch], names=["bucket", "tid", "size", "sketch"])
+            return pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(np.array(ids, object), bands), pa.binary()), pa.array(size.astype(np.float32))], names=["bucket", "tid", "size"])
 
         for batch in batches:
             ids, sets, held = [], [], 0
@@ -270,9 +268,8 @@ def _verify(table, similarity: float):
     return run
 
 
-def _profiles(table):
-    """(tid, text) to (tid, profile): the weight of the shingles of each of CELLS
-    cells, in units rounded up; null if a cell holds more than the type tells."""
+def _weighted(table):
+    """(tid, text) to (tid, shingle, w): the weighted shingles of each text."""
 
     def run(batches):
         import numpy as np
@@ -280,90 +277,103 @@ def _profiles(table):
 
         idf, shingles = table.value, Shingles()
         for batch in batches:
-            found = []
-            for s, n in shingles.each(batch.column(1).to_pylist()):
-                cells = np.ceil(np.bincount((s % np.uint64(CELLS)).astype(np.int64), weights(s, n, idf), CELLS) * UNITS)
-                found.append(cells.astype(np.int16) if cells.max() < 1 << 15 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int16()))], names=["tid", "profile"])
+            for tid, (s, n) in zip(batch.column(0).to_pylist(), shingles.each(batch.column(1).to_pylist())):
+                w = np.asarray(weights(s, n, idf), np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([tid] * len(s), pa.binary()), pa.array(s.view(np.int64)), pa.array(w)], names=["tid", "shingle", "w"])
 
     return run
 
 
-def may_be_near(a: str, b: str, size_a: str, size_b: str, similarity: float) -> Column:
-    """Whether two profiles leave room for the similarity. What two texts share is in no
-    cell more than the lesser of both, so the sum of these is never below it: no pair
-    that is near fails. Texts without a profile pass."""
-    shared = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda total, x: total + x)
-    least = (F.col(size_a).cast("double") + F.col(size_b)) * (UNITS * (similarity / (1 + similarity) - 1e-5))
-    return F.coalesce(shared >= least, F.lit(True))
-
-
 def text_key(text: Column) -> Column:
     """128 bits that equal texts share; null for texts without a word."""
     return F.when(text.rlike(r"[^\t-\r ]"), F.unhex(F.md5(text)))
 
 
-def unlike(a: str, b: str) -> Column:
-    """How many of the 64 hash values' four bits differ in two sketches of four longs."""
-    total = F.lit(0)
-    for k in range(4):
-        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        folded = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        folded = folded.bitwiseOR(F.shiftrightunsigned(folded, 2))
-        total = total + F.bit_count(folded.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
+def alike_in_size(a: str, b: str, similarity: float) -> Column:
+    """Whether total weights leave room for the similarity, which is at most their ratio."""
+    return F.least(a, b) >= F.greatest(a, b) * (similarity - ROUNDING)
+
+
+def prefix_pairs(weighted: DataFrame, of_text: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts of other labels that may be near: all that are, and of the
+    others those that share a rare shingle. weighted: (tid, shingle, w); of_text: (tid, label).
+
+    Shingles are put in order by how many of these texts have them, rarest first. Two
+    texts that are near share weight of at least s / (1 + s) of both sizes; all that
+    they share stands from their first common shingle on, in both. So that shingle
+    stands, in the larger text, where the rest still weighs s of its size, and in the
+    smaller one where it weighs 2 s / (1 + s); only these heads of the lists meet."""
+    s = similarity - ROUNDING
+    weighted = settle(weighted, "nd-weighted")
+    sizes = settle(weighted.groupBy("tid").agg(F.sum("w").alias("size")).join(of_text, "tid"), "nd-sizes")
+    counts = settle(weighted.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "nd-counts")
+    shared = settle(weighted.join(counts, "shingle"), "nd-shared-shingles")
+    rest = F.sum("w").over(Window.partitionBy("tid").orderBy(F.desc("texts"), F.desc("shingle")))
+    rare = shared.select("tid", "shingle", rest.alias("rest")).join(sizes, "tid").where(F.col("rest") >= F.col("size") * s)
+    probe = settle(rare, "nd-probe")
+    index = settle(probe.where(F.col("rest") >= F.col("size") * (2 * s / (1 + s))), "nd-index")
+    other = index.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("tid", "label", "size", "rest")])
+    enough = (F.col("label") != F.col("label2")) & (F.col("size2") <= F.col("size") * (1 + ROUNDING)) & alike_in_size("size", "size2", similarity)
+    enough = enough & (F.least("rest", "rest2") >= (F.col("size") + F.col("size2")) * (s / (1 + s)))
+    pairs = probe.join(other, "shingle").where(enough).select(F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b"))
+    out = settle(pairs.distinct(), "nd-pairs")
+    release(weighted, sizes, counts, shared, probe, index)
+    return out
 
 
 def classes(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(tid, label) for the distinct texts that are near another: the smallest tid of
     the class. Texts are near if the weighted Jaccard similarity of their five-word
     shingles is `similarity` or more (a text of fewer words is one shingle); a class is
-    a connected component of such links."""
+    a connected component of such links. No texts give an empty table."""
     spark = docs.sparkSession
     text_batches(spark)
     keyed = docs.select(text_key(F.col(text_col)).alias("tid"), F.col(text_col).alias("text")).where(F.col("tid").isNotNull())
-    texts = settle(keyed.groupBy("tid").agg(F.first("text").alias("text")), "nd-texts")
-    table = spark.sparkContext.broadcast(idf_table(texts))
-    members = settle(texts.mapInArrow(_bands(table, bands, rows), "bucket long, tid binary, size float, sketch array<bigint>"), "nd-buckets")
-    shared = members.groupBy("bucket").agg(F.min("tid").alias("head"), F.max("tid").alias("other")).where("head <> other")
-    heads = settle(shared.select("bucket", "head"), "nd-heads")
-    members = settle(members.join(heads, "bucket").select("bucket", "tid", "size", "sketch", "head"), "nd-shared")
-    some = settle(members.select("tid").distinct(), "nd-ids")
-    texts = settle(texts.join(some, "tid", "left_semi"), "nd-candidates")
+    every = settle(keyed.groupBy("tid").agg(F.first("text").alias("text")), "nd-texts")
+    table = spark.sparkContext.broadcast(idf_table(every))
+    buckets = settle(every.mapInArrow(_bands(table, bands, rows), "bucket long, tid binary, size float"), "nd-buckets")
+    met = settle(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "nd-met")
+    found = settle(buckets.join(met, "bucket"), "nd-found")
+    central = settle(found.groupBy("tid").agg(F.sum("texts").alias("central")), "nd-central")
+    members = settle(found.join(central, "tid").select("bucket", "tid", "size", "central"), "nd-members")
+    texts = settle(every.join(central, "tid", "left_semi"), "nd-candidates")
+    release(every, buckets, met, found, central)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = settle(pairs.distinct(), "nd-pairs")
         left = pairs.join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a")
         full = left.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        return settle(full.mapInArrow(_verify(table, similarity), "a binary, b binary"), "nd-links")
-
-    links = verified(members.where("tid <> head").select(F.col("tid").alias("a"), F.col("head").alias("b")))
-    for turn in range(HEAD_ROUNDS):
-        label = components(links).toDF("tid", "label")
-        members = settle(members.select("bucket", "tid", "size", "sketch").join(label, "tid", "left").select("bucket", "tid", "size", "sketch", F.coalesce("label", "tid").alias("label")), "nd-labelled")
-        order = F.struct(F.xxhash64(F.lit(turn), "tid"), "tid", "label")
-        split = members.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(order).alias("head")).where("least <> most")
-        split = settle(split.select("bucket", F.col("head.tid").alias("head"), F.col("head.label").alias("head_label")), "nd-split")
-        members = settle(members.join(split, "bucket"), "nd-shared")
-        if turn < HEAD_ROUNDS - 1:
-            pairs = members.where("label <> head_label").select(F.least("tid", "head").alias("a"), F.greatest("tid", "head").alias("b"))
-            links = settle(links.unionByName(verified(pairs)), "nd-links")
-    # what is still apart in a bucket: texts of other classes, of like total weight, whose
-    # sketches differ no more than four standard deviations above what is expected, and
-    # whose profiles leave room for the similarity
-    profiles = settle(texts.mapInArrow(_profiles(table), "tid binary, profile array<smallint>"), "nd-profiles")
-    members = members.join(profiles, "tid")
-    step = math.log(1 / similarity)
-    sized = members.select("bucket", "tid", "label", "size", "sketch", "profile", F.floor(F.log(F.col("size").cast("double")) / step).alias("bin"))
-    near = sized.withColumn("bin", F.explode(F.array(F.col("bin"), F.col("bin") + 1)))
-    left, right = settle(sized, "nd-left"), settle(near.toDF("bucket", "tid2", "label2", "size2", "sketch2", "profile2", "bin"), "nd-right")
-    alike = (F.col("label") != F.col("label2")) & (F.least("size", "size2") >= F.greatest("size", "size2") * (similarity - 1e-5))
-    apart = bands * rows * (1 - similarity) * 15 / 16
-    alike = alike & (unlike("sketch", "sketch2") <= math.ceil(apart + 4 * math.sqrt(apart * (1 - (1 - similarity) * 15 / 16))))
-    alike = alike & may_be_near("profile", "profile2", "size", "size2", similarity)
-    pairs = left.join(right, ["bucket", "bin"]).where(alike).select(F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b"))
-    links = settle(links.unionByName(verified(pairs)), "nd-links")
-    return components(links).toDF("tid", "label")
+        links = settle(full.mapInArrow(_verify(table, similarity), "a binary, b binary"), "nd-links")
+        release(pairs)
+        return links
+
+    labels = None
+    for turn in range(HEAD_ROUNDS + 1):
+        if labels is None:
+            now = members.withColumn("label", F.col("tid"))
+        else:
+            now = settle(members.join(labels.toDF("tid", "label"), "tid", "left").select("bucket", "tid", "size", "central", F.coalesce("label", "tid").alias("label")), "nd-labelled")
+            release(members)
+        order = F.struct(-F.col("central"), "tid", "label", "size")
+        apart = now.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(order).alias("head")).where("least <> most")
+        apart = settle(apart.select("bucket", *[F.col(f"head.{c}").alias(f"head_{c}") for c in ("tid", "label", "size")]), "nd-apart")
+        old, left = now if labels is not None else members, now.join(apart, "bucket")
+        if turn == HEAD_ROUNDS:
+            left = settle(left.select("tid", "label").distinct(), "nd-left")
+            break
+        left = settle(left.where("tid <> head_tid"), "nd-left")
+        release(old, apart)
+        pairs = left.where((F.col("label") != F.col("head_label")) & alike_in_size("size", "head_size", similarity))
+        pairs = settle(pairs.select(F.least("tid", "head_tid").alias("a"), F.greatest("tid", "head_tid").alias("b")).distinct(), "nd-pairs")
+        links = verified(pairs)
+        labels = merged(labels, links)
+        members = left.select("bucket", "tid", "size", "central")
+        members.settled_at = left.settled_at
+        release(links)
+    weighted = texts.join(left.select("tid"), "tid").mapInArrow(_weighted(table), "tid binary, shingle long, w double")
+    links = verified(prefix_pairs(weighted, left, similarity))
+    labels = merged(labels, links)
+    release(links, left, old, apart, texts)
+    return labels.toDF("tid", "label")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -389,18 +399,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, less near-duplicates: of each class the row of
     smallest doc_id stays (null last; among equal ids the one of least hash; of fully
-    equal rows one). Rows whose text has no word all stay."""
-    label = classes(docs, text_col).withColumnRenamed("tid", "__tid")
+    equal rows one). Rows whose text has no word, or null, all stay. Columns may have
+    any names. An empty table gives an empty one."""
+    label = classes(docs, text_col).withColumnRenamed("tid", "other")
     identity = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("hash"))
-    rows = docs.select(text_key(F.col(text_col)).alias("tid"), identity.alias("row")).where(F.col("tid").isNotNull())
-    per_text = settle(rows.groupBy("tid").agg(F.min("row").alias("row")), "nd-first")
-    per_text = settle(per_text.join(label, F.col("tid") == F.col("__tid"), "left").select("tid", "row", F.coalesce("label", "tid").alias("label")), "nd-of-text")
-    first = settle(per_text.groupBy("label").agg(F.min(F.struct("row", "tid")).alias("first")).select("first.tid", F.col("first.row").alias("__row")), "nd-stay")
-    own = docs.withColumns({"__tid": text_key(F.col(text_col)), "__own": identity})
-    without = own.where(F.col("__tid").isNull()).select(*docs.columns)
-    stay = own.where(F.col("__tid").isNotNull()).join(first, F.col("__tid") == F.col("tid"))
-    stay = stay.where(F.col("__own") == F.col("__row")).dropDuplicates(["__tid"])
-    return stay.select(*docs.columns).unionByName(without)
+    own = docs.select(text_key(F.col(text_col)).alias("tid"), identity.alias("own"), F.struct(*docs.columns).alias("row"))
+    per_text = settle(own.where(F.col("tid").isNotNull()).groupBy("tid").agg(F.min("own").alias("own")), "nd-first")
+    per_text = settle(per_text.join(label, F.col("tid") == F.col("other"), "left").select("tid", "own", F.coalesce("label", "tid").alias("label")), "nd-of-text")
+    first = per_text.groupBy("label").agg(F.min(F.struct("own", "tid")).alias("first"))
+    first = settle(first.select(F.col("first.tid").alias("first_tid"), F.col("first.own").alias("first_own")), "nd-stay")
+    without = own.where(F.col("tid").isNull()).select("row.*")
+    stay = own.where(F.col("tid").isNotNull()).join(first, (F.col("tid") == F.col("first_tid")) & (F.col("own") == F.col("first_own")))
+    return stay.dropDuplicates(["tid"]).select("row.*").unionByName(without)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
