@@ -19,4 +19,55 @@ from tidewatch.llm import page_text
     ],
 )
 def test_parts(page, lines):
-    assert [line for line, _ in page_text.blocks(page)] == lines
+    assert [line for line, place in page_text.blocks(page) if place != page_text.NAMED] == lines
+
+
+def naive_common(a, b):
+    """Length of a longest common subsequence, by the whole table."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_differencing_against_brute_force(spark):
+    """On pages without any telling name, what goes is a longest common subsequence
+    with the nearest page of the host; article lines stay."""
+    import os
+    import random
+
+    draw = random.Random(5)
+    site = {h: [f"{h} menu {k}" for k in range(6)] for h in ("h0", "h1")}
+    pages = []
+    for i in range(60):
+        host = f"h{i % 2}"
+        top, end = draw.sample(site[host], 4), draw.sample(site[host], 2)
+        own = [f"own {i} {k}" for k in range(3)] + ["a licence that articles quote"]
+        inside = i % 3 == 0
+        body = "".join(f"<p>{x}</p>" for x in own)
+        html = "".join(f"<div>{x}</div>" for x in top) + (f"<article>{body}</article>" if inside else body) + "".join(f"<div>{x}</div>" for x in end)
+        pages.append((i, f"https://{host}/{draw.choice('abc')}/{i:03d}?q=1", html, top, own if inside else [], own, end))
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in page_text.main_text(df).collect()}
+    for host in ("h0", "h1"):
+        of = sorted((p[1].split("?")[0].split(host, 1)[1], p) for p in pages if f"//{host}/" in p[1])
+        for at, (path, p) in enumerate(of):
+            near = [of[at + k] for k in (-1, 1) if 0 <= at + k < len(of)]
+            other = max(near, key=lambda n: len(os.path.commonprefix([path, n[0]])))[1]
+            lines, others = [p[3] + p[5] + p[6], other[3] + other[5] + other[6]]
+            kept = got[p[0]]["text"].split("\n\n") if got[p[0]]["text"] else []
+            shared = naive_common(lines, others)
+            assert set(p[4]) <= set(kept)
+            exempt = sum(1 for x in p[4] if x in others)
+            assert shared - exempt <= len(lines) - len(kept) <= shared
+            assert got[p[0]]["n_shared"] == len(lines) - len(kept) and got[p[0]]["n_named"] == 0
+
+
+def test_pages_with_columns_named_like_ours(spark):
+    names = "page_id long, url string, html string, shared int, row int, lines int, k1 int, p1 int, host string, text string"
+    df = spark.createDataFrame([(1, "http://h/a", "<p>x", 1, 2, 3, 4, 5, "h", "t"), (None, None, None, None, None, None, None, None, None, None)], names)
+    got = page_text.main_text(df)
+    assert got.columns == ["page_id", "url", "shared", "row", "lines", "k1", "p1", "host", "text", "n_chars", "n_shared", "n_named"]
+    assert sorted((r["shared"] or 0, r["text"]) for r in got.collect()) == [(0, ""), (1, "x")]
+    assert page_text.main_text(df.limit(0)).collect() == []

@@ -3,10 +3,10 @@
 The blocks of a page are its lines. Pages of a host are ordered by URL path, and
 each is paired with the neighbour whose path has more in common with its own. A
 longest common subsequence aligns the two pages' lines; lines in it are the
-site's, not the page's, and go. Markup that names its purpose is heeded first:
-menus, footers, adverts and the like are never lines of the text, and what stands in
-an article or main element is the page's own even if the neighbour has it too (a
-passage may be quoted, a page mirrored).
+site's, not the page's, and go: menus, notices, adverts and footers. What stands in an
+article or main element is the page's own even if the neighbour has it too (a licence
+or a passage may be quoted, a page mirrored). Only then does markup decide: lines that
+no neighbour shares go if they stand in an element that names its purpose.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidewatch.llm.common import kept, schema_with, settle, text_batches, with_positions
+from tidewatch.llm.common import kept, settle, text_batches, with_positions
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|textarea|template|iframe|svg|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -94,30 +95,34 @@ def _named(name: str, attributes: str, own: int) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool]]:
-    """The lines of a page in order, without those of named template parts: (text,
-    whether it stands in an article or main element). No name takes away an article, a
-    main element or what holds one, and a part that is never closed ends before them."""
-    out: list[tuple[str, bool]] = []
+#: What blocks tells of a line: in an article or main element, elsewhere, in a named part.
+OWN, PLAIN, NAMED = 0, 1, 2
+
+
+def blocks(page: str) -> list[tuple[str, int]]:
+    """The visible lines of a page in order and where each stands (OWN, PLAIN or NAMED).
+    No name takes away an article, a main element or what holds one, and a part that
+    is never closed ends before them."""
+    out: list[tuple[str, int]] = []
     text: list[str] = []
     tags = list(_TOKEN.finditer(page))
     ends_at = _extents(tags)
     mains = [i for i, m in enumerate(tags) if m[3] and not m[2] and m[3].lower() == "main"]
     bodies = [i for i, m in enumerate(tags) if m[3] and not m[2] and m[3].lower() in _OWN]
-    own, gone, at = 0, -1, 0
+    own, outside, named, silent, at = 0, 0, -1, -1, 0
 
-    def close() -> None:
+    def close(i: int) -> None:
         line = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if line:
-            out.append((line, own > 0))
+            out.append((line, NAMED if i <= named else OWN if own else PLAIN))
 
     def following(starts: list[int], i: int, end: int) -> int:
         at = bisect_left(starts, i)
         return starts[at] if at < len(starts) else end
 
     def left_out(i: int, name: str, attributes: str) -> int:
-        """The tag up to which the element is left out, or -1."""
+        """The tag up to which the element is no text, or -1."""
         aside = name in _ASIDE or (name == "header" and not own)
         if i not in ends_at or not (aside or _named(name, attributes, own)):
             return -1
@@ -132,26 +137,28 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         return -1
 
     for i, m in enumerate(tags):
-        if i > gone and m.start() > at:
+        if i > silent and m.start() > at:
             text.append(page[at : m.start()])
         at = m.end()
-        if i < gone or not m[3]:
+        if i == named:
+            close(i)
+            own, named = outside, -1
+        if i < silent or not m[3]:
             continue
         name, ends = m[3].lower(), m[2] == "/"
         if name == "br":
             text.append(" ")
         elif name in _BLOCKS:
-            close()
-            if not ends and (to := left_out(i, name, m[4])) >= 0:
-                gone = to
-                continue
-            if name in _OWN:
+            close(i)
+            if not ends and named < 0 and (to := left_out(i, name, m[4])) >= 0:
+                named, outside = to, own
+            elif name in _OWN:
                 own = max(0, own + (-1 if ends else 1))
         elif name == "button" and not ends:
-            gone = left_out(i, name, m[4])
-    if gone < len(tags):
+            silent = left_out(i, name, m[4])
+    if silent < len(tags):
         text.append(page[at:])
-    close()
+    close(len(tags))
     return out
 
 
@@ -179,7 +186,7 @@ def common_lines(a: list, b: list) -> list[int]:
     return found[::-1]
 
 
-def _hashes(lines: list[tuple[str, bool]]) -> list[int]:
+def _hashes(lines: list[tuple[str, int]]) -> list[int]:
     import xxhash
 
     return [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in lines]
@@ -241,55 +248,62 @@ def _host(url_col: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[^:/?#]*:?//([^/?#]*)", 1))
 
 
+def _packed(batches):
+    """(row, host, html) to (row, host, hashes, lines, places): lines compressed, as
+    they travel once; places has a byte a line."""
+    import pyarrow as pa
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        found = [blocks(p or "") for p in batch.column(2).to_pylist()]
+        lines = [press.compress("\n".join(t for t, _ in lines).encode("utf-8", "surrogatepass")) for lines in found]
+        places = [bytes(p for _, p in lines) for lines in found]
+        hashes = pa.array([_hashes(lines) for lines in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hashes, pa.array(lines, pa.binary()), pa.array(places, pa.binary())], names=["row", "host", "hashes", "lines", "places"])
+
+
+def _chosen(batches):
+    """(row, lines, places, shared) to (row, text, n_shared, n_named)."""
+    import pyarrow as pa
+    import zstandard
+
+    unpress = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts, n_shared, n_named = [], [], []
+        for lines, places, shared in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            lines = unpress.decompress(lines).decode("utf-8", "surrogatepass").split("\n") if places else []
+            gone = {i for i in shared or () if places[i] != OWN}
+            named = {i for i, p in enumerate(places) if p == NAMED} - gone
+            texts.append("\n\n".join(t for i, t in enumerate(lines) if i not in gone and i not in named))
+            n_shared.append(len(gone))
+            n_named.append(len(named))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n_shared, pa.int32()), pa.array(n_named, pa.int32())], names=["row", "text", "n_shared", "n_named"])
+
+
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """One row for each row of pages: the columns `keep` (else all but html_col and
-    those named like a result), then text and n_chars (code points).
+    those named like a result), then text, n_chars (code points), n_shared and n_named
+    (lines left out as the nearest page has them too, and by what their element is).
 
     A text is the page's lines without those that its nearest page shares, unless
-    they stand in an article or main element. Named template parts are never lines:
-    scripts, styles, forms, menus, and elements whose class, id or role says what
-    they are. Character references are decoded, white space inside a line becomes one
+    they stand in an article or main element; then without those of forms, menus and
+    elements whose class, id or role says what they are. Scripts and styles are no
+    lines. Character references are decoded, white space inside a line becomes one
     space, lines are joined by an empty line. Null and empty pages have an empty text;
     pages without url form one host; repeated rows give repeated results, and pages
-    with equal lines are no evidence against each other. Pages are read whole. An
-    empty table gives an empty one.
-
-    Pages whose every line is their own skip the join with what was found shared."""
-    keep = kept(pages, keep, [html_col], ["text", "n_chars"])
+    with equal lines are no evidence against each other. Pages are read whole.
+    Columns may have any names. An empty table gives an empty one."""
+    keep = kept(pages, keep, [html_col], ["text", "n_chars", "n_shared", "n_named"])
     text_batches(pages.sparkSession)
     deleted = settle(shared_lines(pages, url_col, html_col), "pages-shared")
-    rows = pages.select(*keep, F.col(html_col).alias("__html"))
-
-    def clear(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = [blocks(p or "") for p in batch.column(batch.num_columns - 1).to_pylist()]
-            sure = pa.array([all(own for _, own in lines) for lines in found], pa.bool_())
-            texts = pa.array(["\n\n".join(t for t, _ in lines) for lines in found], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], "text"]).filter(sure)
-
-    def mixed(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = [blocks(p or "") for p in batch.column(batch.num_columns - 1).to_pylist()]
-            at = [i for i, lines in enumerate(found) if not all(own for _, own in lines)]
-            rest = batch.take(pa.array(at, pa.int64()))
-            lines = pa.array([[t for t, _ in found[i]] for i in at], pa.list_(pa.string()))
-            own = pa.array([[o for _, o in found[i]] for i in at], pa.list_(pa.bool_()))
-            hashes = pa.array([_hashes(found[i]) for i in at], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns[:-1], lines, own, hashes], names=[*batch.schema.names[:-1], "__lines", "__own", "__hashes"])
-
-    sure = rows.mapInArrow(clear, schema_with(pages.select(*keep), "text string"))
-    hosted = pages.select(*keep, _host(url_col).alias("__host"), F.col(html_col).alias("__html"))
-    rest = hosted.mapInArrow(mixed, schema_with(pages.select(*keep), "__host string, __lines array<string>, __own array<boolean>, __hashes array<bigint>"))
-    rest = rest.withColumns({"__k1": F.xxhash64("__host", "__hashes"), "__k2": F.xxhash64(F.lit("second"), "__host", "__hashes")})
-    gone = deleted.select(F.col("k1").alias("__d1"), F.col("k2").alias("__d2"), "shared")
-    rest = rest.join(gone, (F.col("__k1") == F.col("__d1")) & (F.col("__k2") == F.col("__d2")), "left")
-    stays = lambda line, i: F.element_at("__own", i + 1) | ~F.coalesce(F.array_contains("shared", i), F.lit(False))
-    rest = rest.select(*keep, F.array_join(F.filter("__lines", stays), "\n\n").alias("text"))
-    return sure.unionByName(rest).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = pages.select(F.struct(*keep).alias("row"), _host(url_col).alias("host"), F.col(html_col).alias("html"))
+    row = StructType([rows.schema["row"]])
+    packed = rows.mapInArrow(_packed, StructType([*row.fields, *StructType.fromDDL("host string, hashes array<bigint>, lines binary, places binary").fields]))
+    packed = packed.select("row", "lines", "places", F.xxhash64("host", "hashes").alias("p1"), F.xxhash64(F.lit("second"), "host", "hashes").alias("p2"))
+    met = packed.join(deleted, (F.col("p1") == F.col("k1")) & (F.col("p2") == F.col("k2")), "left").select("row", "lines", "places", "shared")
+    text = met.mapInArrow(_chosen, StructType([*row.fields, *StructType.fromDDL("text string, n_shared int, n_named int").fields]))
+    return text.select("row.*", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared", "n_named")
 
 
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
