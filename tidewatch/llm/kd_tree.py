@@ -1,11 +1,12 @@
 """Exact top-k by inner product with a KD-tree in each shard.
 
-Vectors are dealt into shards of bounded size by hash. Each shard gets a tree of
-median splits whose nodes keep tight bounding boxes; a query visits nodes best
-bound first and stops when the best bound left is below its k-th score. A query
-searches its own shard first; the k-th score found there goes with it to all
-other shards, where it prunes from the start. Queries meet shards in blocks, so no
-task holds more than one shard and one block of queries.
+Vectors are dealt into shards of bounded size by hash. A shard's task gets its vectors
+first, builds one tree of median splits whose nodes keep tight bounding boxes, and
+then answers the queries that come after, a batch at a time: nodes are visited best
+bound first, until the best bound left is below the query's k-th score. Queries
+search their own shard first, then a few others, then all the rest, and the best
+k-th score found so far goes with them and prunes from the start. So vectors are
+shuffled once a wave, and no task holds more than a shard and a batch of queries.
 """
 
 from __future__ import annotations
@@ -19,9 +20,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import settle
 from tidewatch.llm.vectors import matrix, usable
 
-#: Vectors of a shard, about; queries of a block, about; vectors of a leaf at most.
+#: Vectors of a shard, about; vectors of a leaf at most.
 SHARD_ROWS = 8_192
-BLOCK_QUERIES = 2_048
 LEAF_ROWS = 256
 
 
@@ -86,36 +86,58 @@ class Tree:
 
 
 def _search(k: int):
-    """(shard and block, its vectors, its queries) to (query, vec_id, score)."""
+    """Rows (dim, shard, asks, vec_id, query_hash, least, vector), each shard's vectors
+    before its queries, to (query_id, query_hash, vec_id, score)."""
 
-    def run(vectors, queries):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
         names = ["query_id", "query_hash", "vec_id", "score"]
-        out: list = [[], [], [], []]
-        if vectors.num_rows and queries.num_rows:
-            ids, x = vectors["vec_id"].to_numpy(), matrix(vectors["vector"])
+        shard, waiting, tree = None, [], None
+
+        def grown():
+            ids, x = np.concatenate([i for i, _ in waiting]), np.concatenate([v for _, v in waiting])
             _, once = np.unique(np.column_stack([ids, x]), axis=0, return_index=True)
-            ids, x, q = ids[once], x[once], matrix(queries["vector"])
+            return Tree(ids[once], x[once])
+
+        def answers(queries):
+            q = matrix(queries.column("vector"))
+            x = tree.vectors
             exact = max(np.abs(x).max().astype(float), 1) * max(np.abs(q).max().astype(float), 1) * x.shape[1] < 2**53
-            x, q = (x.astype(float), q.astype(float)) if exact else (x, q)
-            tree = Tree(ids, x)
+            if exact and x.dtype != float:
+                tree.vectors = x.astype(float)
+            elif not exact:
+                tree.vectors = x.astype(np.int64)
+            q = q.astype(tree.vectors.dtype)
             bounds = tree.bounds(q.astype(float))
-            least = queries["least"].to_numpy(zero_copy_only=False).astype(float)
-            for i, (own, h) in enumerate(zip(queries["vec_id"].to_pylist(), queries["query_hash"].to_pylist())):
+            least = queries.column("least").to_numpy(zero_copy_only=False).astype(float)
+            out: list = [[], [], [], []]
+            for i, (own, h) in enumerate(zip(queries.column("vec_id").to_pylist(), queries.column("query_hash").to_pylist())):
                 scores, found = tree.best(q[i], bounds[i], own, k, least[i] if least[i] == least[i] else -math.inf)
-                out[0].append(np.full(len(found), own))
-                out[1].append(np.full(len(found), h))
-                out[2].append(found)
-                out[3].append(scores.astype(np.int64))
-        joined = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
-        return pa.table([pa.array(c, pa.int64()) for c in joined], names=names)
+                for column, value in zip(out, (np.full(len(found), own), np.full(len(found), h), found, scores.astype(np.int64))):
+                    column.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=names)
+
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dim", "shard", "asks")])
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+                if a == b:
+                    continue
+                rows, own = batch.slice(a, b - a), (keys[a][0], keys[a][1])
+                if own != shard:
+                    shard, waiting, tree = own, [], None
+                if not keys[a][2]:
+                    waiting.append((rows.column("vec_id").to_numpy(), matrix(rows.column("vector"))))
+                elif waiting or tree:
+                    tree, waiting = tree or grown(), []
+                    yield answers(rows)
 
     return run
 
 
-def top_k(df: DataFrame, k: int, is_query, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def top_k(df: DataFrame, k: int, is_query, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """For each row for which `is_query` (a function of the id column) holds, the k
     highest integer inner products with other rows: query_id, rank, vec_id, score.
 
@@ -123,35 +145,35 @@ def top_k(df: DataFrame, k: int, is_query, id_col: str = "vec_id", vector_col: s
     bits wrap. Ties go to the smaller vec_id; fewer rows than k give all. Vectors
     that are null or empty, or hold a null or non-finite component, and rows without
     an id take no part. Rows with the query's id are not its candidates; rows equal
-    in id and vector count once; vectors of another length never meet. Other columns
-    are ignored. An empty table gives an empty result."""
-    spark = df.sparkSession
+    in id and vector count once; vectors of another length never meet; queries of one
+    id and other vectors are answered each. Other columns are ignored. An empty table
+    gives an empty result."""
     rows = usable(df, id_col, vector_col)
     rows = rows.select("vec_id", F.transform("vector", lambda x: F.floor(x * scale)).alias("vector"), F.size("vector").alias("dim"))
     rows = rows.withColumn("query_hash", F.xxhash64("vec_id", "vector"))
-    n = rows.count()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(rows.where(is_query(F.col("vec_id"))).count() / block_queries))
+    shards = max(1, math.ceil(rows.count() / shard_rows))
     rows = rows.withColumn("shard", F.pmod("query_hash", F.lit(shards)).cast("int"))
     queries = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "query_hash"])
-    queries = queries.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "query_hash"), F.lit(blocks)).cast("int"))
-    keys = ["dim", "shard", "block"]
-    schema = "query_id long, query_hash long, vec_id long, score long"
-    meet = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy(*keys)
-    home = meet.cogroup(queries.withColumn("least", F.lit(None).cast("long")).groupBy(*keys)).applyInArrow(_search(k), schema)
-    if shards == 1:
-        found = home
-    else:
-        home = settle(home, "kd-home")
-        kth = home.groupBy("query_id", "query_hash").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-        kth = kth.where(F.col("n") >= k).select(F.col("query_id").alias("__id"), F.col("query_hash").alias("__hash"), "least")
-        away = queries.join(kth, (F.col("vec_id") == F.col("__id")) & (F.col("query_hash") == F.col("__hash")), "left").drop("__id", "__hash")
-        others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard"))
-        away = away.withColumn("shard", F.explode(others))
-        away = away.toDF(*away.columns)  # columns of its own, as both sides come from `rows`
-        found = home.unionByName(meet.cogroup(away.groupBy(*keys)).applyInArrow(_search(k), schema))
+    columns = ["dim", "shard", "asks", "vec_id", "query_hash", "least", "vector"]
+    none = F.lit(None).cast("long")
+    stored = rows.select("dim", "shard", F.lit(False).alias("asks"), "vec_id", "query_hash", none.alias("least"), "vector")
     best = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    few = math.isqrt(shards)
+    waves = [(0, 1), (1, 1 + few), (1 + few, shards)]
+    found = None
+    for a, b in ((a, min(b, shards)) for a, b in waves if a < shards):
+        asks = queries.withColumn("least", none)
+        if found is not None:
+            kth = found.groupBy("query_id", "query_hash").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+            kth = kth.where(F.col("n") >= k).select(F.col("query_id").alias("id"), F.col("query_hash").alias("hash"), "least")
+            asks = queries.join(kth, (F.col("vec_id") == F.col("id")) & (F.col("query_hash") == F.col("hash")), "left")
+        to = F.explode(F.transform(F.sequence(F.lit(a), F.lit(b - 1)), lambda s: ((F.col("shard") + s) % shards).cast("int")))
+        asks = asks.select("dim", to.alias("shard"), F.lit(True).alias("asks"), "vec_id", "query_hash", "least", "vector")
+        met = stored.unionByName(asks).select(columns).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "asks")
+        more = met.mapInArrow(_search(k), "query_id long, query_hash long, vec_id long, score long")
+        more = more if found is None else more.unionByName(found)
+        found = settle(more.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "kd-found")
+    return found.withColumn("rank", F.row_number().over(best)).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,10 +182,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w, embedding AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.w AS asked, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
