@@ -1,6 +1,7 @@
 """Personal data replaced by surrogates, with DataFrame functions only.
 
-Entities are found by patterns. Each distinct one gets a surrogate drawn by a keyed
+Entities are found by patterns; the words of a name that a text has after a title are
+looked for in all of that text. Each distinct entity gets a surrogate drawn by a keyed
 hash: of its kind, gender, script and format. A surrogate that another entity has, or
 that is itself an entity of the corpus, is drawn again. So equal entities get equal
 surrogates wherever they stand, and different ones different surrogates.
@@ -17,11 +18,18 @@ from tidewatch.llm.common import kept, settle
 MALE = "Mr|Mister|Herr|Monsieur|Señor|господин|κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|госпожа|κυρία"
 
+# Titles that do not tell a gender (fixed values).
+NEUTRAL = "Dr|Doctor|Prof|Professor|Mx"
+#: Titles as they are written, and in capitals where that is no other word.
+_TITLES = {"m": MALE, "f": FEMALE, "x": NEUTRAL}
+_TITLES = {k: "|".join([v, *(w.upper() for w in v.split("|") if len(w) > 2)] + (["MR"] if k == "m" else ["DR"] if k == "x" else [])) for k, v in _TITLES.items()}
+_TITLE = "|".join(_TITLES.values())
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _WORD = r"\p{Lu}[\p{L}'’-]+"
 #: A mention's kind is that of the first pattern that matches the whole of it.
 PATTERNS = {
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.? {_WORD}(?: {_WORD})?",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_WORD}(?: {_WORD})?",
     "keyed": r"(?<![\p{L}\p{N}])(?i:token|password|passwd|pwd|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9+/_.~-]{7,}[A-Za-z0-9+/_~-]",
     "access": r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)",
     "email": r"(?<![\p{L}\p{N}_.+%-])[\p{L}\p{N}_.+%-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
@@ -34,9 +42,9 @@ PATTERNS = {
 }
 ENTITY = "|".join(PATTERNS.values())
 #: Every entity has one of these; looking for them is several times cheaper.
-SIGN = rf"[0-9@=:]|AKIA|ASIA|(?:^|[^\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
+SIGN = rf"[0-9@=:]|AKIA|ASIA|(?:^|[^\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}"
 #: What stands before the entity proper in a mention.
-LEAD = {"name": rf"^(?:{MALE}|{FEMALE})\.? ", "keyed": r"^(?i:token|password|passwd|pwd|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"}
+LEAD = {"name": rf"^(?:{_TITLE})\.? ", "keyed": r"^(?i:token|password|passwd|pwd|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"}
 
 _HEX, _DIGITS, _LOWER, _UPPER = "0123456789abcdef", "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _OTHER = ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "àáâäçèéêëìíîïñòóôöùúûü", "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ"]
@@ -51,27 +59,46 @@ STRICT_DRAWS = 6
 
 
 def kind_of(mention: Column) -> Column:
-    found = F.lit(None).cast("string")
+    found = F.lit("bare")
     for kind, pattern in reversed(PATTERNS.items()):
         found = F.when(mention.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(found)
     return found
 
 
-def _parts(kind: Column, mention: Column) -> Column:
-    """The entities of a mention: (kind, value). Names have one or two; letters'
-    case in addresses, and blanks and signs between digits, make no difference."""
-    value = lambda k: F.regexp_replace(mention, LEAD[k], "")
-    word = lambda i: F.split(value("name"), " ").getItem(i)
-    one = lambda k, v: F.struct(F.lit(k).alias("kind") if isinstance(k, str) else k.alias("kind"), v.alias("value"))
-    gender = F.when(mention.rlike(rf"^(?:{MALE})\.? "), "given_m").otherwise("given_f")
-    name = F.when(F.size(F.split(value("name"), " ")) > 1, F.array(one(gender, word(0)), one("family", word(1)))).otherwise(F.array(one("family", word(0))))
+def _one(kind, value: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.alias("value"))
+
+
+def _name_parts(mention: Column) -> Column:
+    """The (kind, value) of a name after a title: a given name of the title's gender
+    and a family name, or a family name alone. Capitals make no difference."""
+    words = F.split(F.regexp_replace(mention, LEAD["name"], ""), " ")
+    titled = lambda g: mention.rlike(rf"^(?:{_TITLES[g]})\.? ")
+    gender = F.when(titled("m"), "given_m").when(titled("f"), "given_f").otherwise("given_x")
+    word = lambda i: F.initcap(words.getItem(i))
+    return F.when(F.size(words) > 1, F.array(_one(gender, word(0)), _one("family", word(1)))).otherwise(F.array(_one("family", word(0))))
+
+
+def _parts(kind: Column, mention: Column, known: Column) -> Column:
+    """The entities of a mention: (kind, value). Names have one or two; letters' case
+    in names and addresses, and blanks and signs between digits, make no difference. An
+    address is its mailbox and its domain, so that addresses of a domain stay together.
+    `known` are the names of the mention's text: they tell what a bare word is, and
+    the gender of a name after a title without one."""
+    settled = lambda p: F.coalesce(F.filter(known, lambda k: (k["value"] == p["value"]) & (k["kind"] != "given_x") & (k["kind"].startswith("given") == p["kind"].startswith("given"))).getItem(0), p)
+    bare = F.initcap(mention)
+    of_bare = F.filter(known, lambda k: k["value"] == bare)
+    of_bare = F.coalesce(F.filter(of_bare, lambda k: k["kind"] != "given_x").getItem(0), of_bare.getItem(0))
+    address = F.lower(mention)
     return (
-        F.when(kind == "name", name)
-        .when(kind == "keyed", F.array(one(kind, value("keyed"))))
-        .when(kind.isin("email", "ip6"), F.array(one(kind, F.lower(mention))))
-        .when(kind.isin("phone", "ssn", "card"), F.array(one(kind, F.regexp_replace(mention, "[^+0-9]", ""))))
-        .when(kind == "iban", F.array(one(kind, F.replace(mention, F.lit(" "), F.lit("")))))
-        .otherwise(F.array(one(kind, mention)))
+        F.when(kind == "name", F.transform(_name_parts(mention), settled))
+        .when(kind == "bare", F.array(of_bare))
+        .when(kind == "keyed", F.array(_one(kind, F.regexp_replace(mention, LEAD["keyed"], ""))))
+        .when(kind == "email", F.array(_one("mailbox", address), _one("domain", F.substring_index(address, "@", -1))))
+        .when(kind == "ip6", F.array(_one(kind, F.lower(mention))))
+        .when(kind.isin("phone", "ssn", "card"), F.array(_one(kind, F.regexp_replace(mention, "[^+0-9]", ""))))
+        .when(kind == "iban", F.array(_one(kind, F.replace(mention, F.lit(" "), F.lit("")))))
+        .otherwise(F.array(_one(kind, mention)))
     )
 
 
@@ -105,6 +132,22 @@ def _check_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
+def _account_rest(account: Column) -> Column:
+    """An account number's remainder by 97, letters as 10 to 35, its first four
+    characters moved to the end: 1 if its check digits are right."""
+    moved = F.concat(F.substr(account, F.lit(5)), F.substr(account, F.lit(1), F.lit(4)))
+    of = lambda c: F.position(c, F.lit(_DIGITS + _UPPER)) - 1
+    step = lambda rest, c: (rest * F.when(of(c) > 9, 100).otherwise(10) + of(c)) % 97
+    return F.aggregate(F.split(moved, ""), F.lit(0), step)
+
+
+def _account(account: Column, alike: Column) -> Column:
+    """`alike` with check digits that are right, if those of `account` are."""
+    blank = F.concat(F.substr(alike, F.lit(1), F.lit(2)), F.lit("00"), F.substr(alike, F.lit(5)))
+    right = F.concat(F.substr(alike, F.lit(1), F.lit(2)), F.lpad((98 - _account_rest(blank)).cast("string"), 2, "0"), F.substr(alike, F.lit(5)))
+    return F.when(_account_rest(account) == 1, right).otherwise(alike)
+
+
 def _number(text: Column, b: Column, draw: Column) -> Column:
     """One of four numbers of an address, as many digits long."""
     n = F.when(draw >= STRICT_DRAWS, F.lit(4)).otherwise(F.char_length(text))
@@ -116,11 +159,11 @@ def _name(kind: Column, value: Column, digest: Column, draw: Column) -> Column:
         first, male, female, family = [F.split(F.lit(x), " ") for x in _SYLLABLES[script]]
         pick = lambda words, i: F.element_at(words, _bytes(digest, i) % F.size(words) + 1)
         start = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2) + (draw / 2).cast("int")), lambda i: pick(first, i)), "")
-        end = F.when(kind == "given_m", pick(male, F.lit(0))).when(kind == "given_f", pick(female, F.lit(0))).otherwise(pick(family, F.lit(0)))
+        either = F.when(_bytes(digest, F.lit(1)) % 2 == 0, pick(male, F.lit(0))).otherwise(pick(female, F.lit(0)))
+        end = F.when(kind == "given_m", pick(male, F.lit(0))).when(kind == "given_f", pick(female, F.lit(0))).when(kind == "given_x", either).otherwise(pick(family, F.lit(0)))
         return F.initcap(F.concat(start, end))
 
-    name = F.when(value.rlike(r"^\p{IsCyrillic}"), of("cyrillic")).when(value.rlike(r"^\p{IsGreek}"), of("greek")).otherwise(of("latin"))
-    return F.when((F.upper(value) == value) & (F.char_length(value) > 1), F.upper(name)).otherwise(name)
+    return F.when(value.rlike(r"^\p{IsCyrillic}"), of("cyrillic")).when(value.rlike(r"^\p{IsGreek}"), of("greek")).otherwise(of("latin"))
 
 
 def surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
@@ -131,9 +174,12 @@ def surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
     alike = _alike(value, digest, stay)
     fixed = F.concat(F.substr(alike, F.lit(1), F.char_length(alike) - 1), F.pmod(F.substr(alike, F.char_length(alike), F.lit(1)).cast("int") + _check_sum(value) - _check_sum(alike), F.lit(10)).cast("string"))
     local = _alike(F.substring_index(value, "@", 1), digest, F.lit(0))
-    email = F.concat(local, F.when(draw >= STRICT_DRAWS, _bytes(digest, F.lit(123)).cast("string")).otherwise(""), F.lit("@host"), _bytes(digest, F.lit(125)).cast("string"), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "org", "net"))), _bytes(digest, F.lit(126)) % 3 + 1))
+    mailbox = F.concat(local, F.when(draw >= STRICT_DRAWS, _bytes(digest, F.lit(123)).cast("string")).otherwise(""))
+    number = _bytes(digest, F.lit(124)) * 65_536 + _bytes(digest, F.lit(125)) * 256 + _bytes(digest, F.lit(127))
+    domain = F.concat(F.lit("host"), number.cast("string"), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "org", "net"))), _bytes(digest, F.lit(126)) % 3 + 1))
     address = F.array_join(F.transform(F.split(value, r"\."), lambda o, i: _number(o, _bytes(digest, i), draw)), ".")
-    return F.when(kind == "card", fixed).when(kind == "email", email).when(kind == "ip", address).when(kind.isin("given_m", "given_f", "family"), _name(kind, value, digest, draw)).otherwise(alike)
+    found = F.when(kind == "card", fixed).when(kind == "iban", _account(value, alike)).when(kind == "mailbox", mailbox).when(kind == "domain", domain).when(kind == "ip", address)
+    return found.when(kind.isin("given_m", "given_f", "given_x", "family"), _name(kind, value, digest, draw)).otherwise(alike)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -159,13 +205,16 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 
 def _rendered(kind: Column, mention: Column, found: Column) -> Column:
     """A mention with its entities' surrogates in its own spelling: signs and blanks
-    between digits stay where they are."""
+    between digits stay where they are, names in capitals get such."""
+    name = kind.isin("name", "bare")
     lead = F.when(kind == "name", F.regexp_extract(mention, LEAD["name"], 0)).when(kind == "keyed", F.regexp_extract(mention, LEAD["keyed"], 0)).otherwise("")
+    words = F.split(F.substr(mention, F.char_length(lead) + 1), " ")
+    cased = F.transform(found, lambda f, i: F.when(name & (F.upper(words.getItem(i)) == words.getItem(i)) & (F.char_length(words.getItem(i)) > 1), F.upper(f)).otherwise(f))
     signs = F.regexp_replace(found.getItem(0), "[^0-9A-Za-z]", "")
     start = F.struct(F.lit("").alias("text"), F.lit(1).alias("at"))
     put = lambda a, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(a["text"], F.substr(signs, a["at"], F.lit(1))).alias("text"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["text"], c).alias("text"), a["at"].alias("at")))
     spaced = F.aggregate(F.split(mention, ""), start, put, lambda a: a["text"])
-    return F.when(kind.isin("phone", "ssn", "card", "iban"), spaced).otherwise(F.concat(lead, F.array_join(found, " ")))
+    return F.when(kind.isin("phone", "ssn", "card", "iban"), spaced).when(kind == "email", F.array_join(found, "@")).otherwise(F.concat(lead, F.array_join(cased, " ")))
 
 
 def replace_entities(docs: DataFrame, text_col: str = "text", key: str = "surrogate-key", keep: list[str] | None = None) -> DataFrame:
@@ -173,35 +222,46 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = "surrog
     `keep` (else all but text_col and n_entities), text_col, and n_entities, the
     number of mentions replaced.
 
-    Found are names after a title, access keys and secrets after their names, e-mail
-    and network addresses, and telephone, social security, account and card numbers.
-    A given name gets one of the title's gender and the name's script, a card number
-    one that is as valid; e-mail addresses count as equal without regard to case,
-    numbers without regard to blanks and signs. Text outside the mentions stays as it
-    is, and so do null and empty texts (0 entities). Whole texts are read. Repeated
-    rows give repeated results; an empty table gives an empty one.
-
-    Only texts with an entity are shuffled, once; what is shuffled for the entities
-    are the distinct mentions of each distinct text."""
+    Found are names after a title, the words of these wherever else they stand in that
+    text (with a capital, or in capitals), access keys and secrets after their names,
+    e-mail and network addresses, and telephone, social security, account and card
+    numbers. A given name gets one of the title's gender and the name's script, card
+    and account numbers one that is as valid; addresses of a domain get one domain;
+    names and addresses count as equal without regard to case, numbers without regard
+    to blanks and signs. Text outside the mentions stays as it is, and so do null and
+    empty texts (0 entities). Whole texts are read. Repeated rows give repeated
+    results; an empty table gives an empty one. Columns may have any names.
+
+    Only texts with an entity are settled and shuffled, once; what is shuffled for the
+    entities are the mentions of each distinct text."""
     keep = kept(docs, keep, [text_col], [text_col, "n_entities"])
     text = F.col(text_col)
     has = F.coalesce(text.rlike(SIGN) & text.rlike(ENTITY), F.lit(False))
-    pattern = F.lit(ENTITY)
     clean = docs.where(~has).select(*keep, text_col, F.lit(0).cast("long").alias("n_entities"))
-    marked = docs.where(has).select(*keep, text.alias("__text"), F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit("second"), text).alias("__k2"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("__found"))
-    each = marked.select("__k1", "__k2", F.explode(F.array_distinct("__found")).alias("mention")).distinct()
+    marked = docs.where(has).select(F.struct(*[F.col(c) for c in keep]).alias("row") if keep else F.lit(None).alias("row"), text.alias("text"))
+    marked = marked.withColumn("titled", F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERNS["name"]), F.lit(0))))
+    marked = marked.withColumn("known", F.array_distinct(F.flatten(F.transform("titled", _name_parts))))
+    words = F.flatten(F.transform("titled", lambda m: F.split(F.regexp_replace(m, LEAD["name"], ""), " ")))
+    words = F.array_join(F.array_distinct(F.concat(words, F.transform(words, lambda w: F.initcap(w)), F.transform(words, lambda w: F.upper(w)))), "|")
+    bare = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), words, F.lit(r")(?![\p{L}\p{N}])"))
+    marked = marked.withColumn("pattern", F.when(F.size("known") > 0, bare).otherwise(F.lit(ENTITY)))
+    marked = marked.withColumn("found", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
+    marked = settle(marked.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("second"), "text")}), "pii-texts")
+    texts = settle(marked.groupBy("k1", "k2").agg(F.first("known").alias("known"), F.first("found").alias("found")), "pii-found")
+    each = texts.select("k1", "k2", F.posexplode("found").alias("at", "mention"), "known").withColumn("whole", kind_of(F.col("mention")))
+    each = each.withColumn("parts", _parts(F.col("whole"), F.col("mention"), F.col("known"))).select("k1", "k2", "at", "mention", "whole", "parts")
     each = settle(each, "pii-mentions")
-    mentions = each.select("mention").distinct().withColumn("kind", kind_of(F.col("mention")))
-    parts = mentions.select("mention", F.col("kind").alias("whole"), F.posexplode(_parts(F.col("kind"), F.col("mention"))).alias("at", "part"))
-    parts = settle(parts.select("mention", "whole", "at", "part.kind", "part.value"), "pii-parts")
+    mentions = settle(each.select("mention", "whole", "parts").distinct().withColumn("id", F.xxhash64("mention", "parts")), "pii-distinct")
+    parts = settle(mentions.select("id", "mention", "whole", F.posexplode("parts").alias("nth", "part")).select("id", "mention", "whole", "nth", "part.kind", "part.value"), "pii-parts")
     assigned = assign(parts.select("kind", "value").distinct(), key)
-    named = parts.join(assigned, ["kind", "value"]).groupBy("mention", "whole").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("found"))
-    named = named.select("mention", _rendered(F.col("whole"), F.col("mention"), F.col("found")).alias("new"))
-    joined = settle(each.join(named, "mention").select("__k1", "__k2", "mention", "new"), "pii-renamed")
-    lists = joined.groupBy("__k1", "__k2").agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("__new"))
-    merged = marked.join(lists.toDF("__m1", "__m2", "__new"), (F.col("__k1") == F.col("__m1")) & (F.col("__k2") == F.col("__m2")))
-    pieces = F.zip_with(F.split("__text", ENTITY, -1), F.transform("__found", lambda m: F.element_at("__new", m)), lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
-    replaced = merged.select(*keep, F.array_join(pieces, "").alias(text_col), F.size("__found").cast("long").alias("n_entities"))
+    named = parts.join(assigned, ["kind", "value"]).groupBy("id", "mention", "whole").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "surrogate"))), lambda x: x["surrogate"]).alias("new"))
+    named = named.select("id", F.col("mention").alias("of"), _rendered(F.col("whole"), F.col("mention"), F.col("new")).alias("new"))
+    each = each.withColumn("id", F.xxhash64("mention", "parts"))
+    joined = settle(each.join(settle(named, "pii-named"), "id").where("mention = of").select("k1", "k2", "at", "new"), "pii-renamed")
+    lists = joined.groupBy("k1", "k2").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("new"))
+    merged = marked.join(lists, ["k1", "k2"])
+    pieces = F.zip_with(F.split("text", F.col("pattern"), -1), F.col("new"), lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
+    replaced = merged.select(*(["row.*"] if keep else []), F.array_join(pieces, "").alias(text_col), F.size("found").cast("long").alias("n_entities"))
     return clean.unionByName(replaced)
 
 
