@@ -223,7 +223,8 @@ def read_archive(index: DataFrame, payloads: bool = True) -> DataFrame:
 
     A task reads a bundle frame by frame, so it holds one frame at a time; the
     digest of each payload is checked. Revisits have no payload, but the size and
-    digest of the full one."""
+    digest of the full one. Bundles are dealt to as many tasks as there are bundles. An
+    index whose rows repeat reads each bundle once; an empty one gives no records."""
     import zstandard  # noqa: F401  (fails here rather than in a task)
 
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -247,12 +248,14 @@ def read_archive(index: DataFrame, payloads: bool = True) -> DataFrame:
                         yield _rows_to_arrow(rows, names)
 
     bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(run, RECORD_SCHEMA)
+    return bundles.repartition(max(1, bundles.count()), "bundle").mapInArrow(run, RECORD_SCHEMA)
 
 
 def fetch(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """The records whose record_id is in `wanted`, read by offset: of each bundle
-    only the frames that hold them. An id that was never written gives no row."""
+    only the frames that hold them. An id that was never written gives no row, one
+    that is wanted twice gives one row for each of the index; nulls are never found, and
+    an empty index or an empty table of wanted ids gives an empty result."""
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def run(batches):
