@@ -1,9 +1,8 @@
 """Token counts by a two-tier lookup on the map side.
 
 Tier one is a broadcast hash table with the token counts of the most frequent
-pre-tokens; tier two is a cache in each worker that encodes what tier one
-lacks. Pre-tokens are never shuffled, but for at most LOCAL_TOP rows a task when
-the table is made.
+pre-tokens of a bounded sample of texts; tier two is a cache in each worker that
+encodes what tier one lacks. Pre-tokens are never shuffled.
 """
 
 from __future__ import annotations
@@ -18,8 +17,9 @@ from tidewatch.llm.vocabulary import TwoGenerations, default_path, vocabulary
 
 #: Entries of the broadcast table (about 3 MB): its proven bound, whatever the corpus.
 TABLE_ENTRIES = 32_768
-#: Pre-tokens that a task proposes for the table.
-LOCAL_TOP = 4_096
+#: Texts, about, that the table is made from, and the tasks that count them. It holds
+#: what is frequent in them; that decides how fast counting is, never a count.
+SAMPLE_TEXTS, SAMPLE_TASKS = 4_096, 8
 #: Distinct strings a task counts before it forgets its rarest; bounds memory only.
 LOCAL_DISTINCT = 200_000
 #: Entries of one generation of a worker's cache.
@@ -27,10 +27,9 @@ CACHE_ENTRIES = 300_000
 
 
 def frequent_pre_tokens(df: DataFrame, text_col: str, path: str, entries: int = TABLE_ENTRIES) -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens of all rows, at most `entries`.
-
-    Which ones are in the table only decides how fast counting is, never a count.
-    """
+    """Token counts of the most frequent pre-tokens of a hash sample of about
+    SAMPLE_TEXTS texts, at most `entries`. A few tasks count them and send their own
+    most frequent ones to the driver, at most `entries` each."""
 
     def propose(batches):
         import pyarrow as pa
@@ -42,13 +41,17 @@ def frequent_pre_tokens(df: DataFrame, text_col: str, path: str, entries: int =
                     words.update(vocab.pre_tokens(text))
             if len(words) > LOCAL_DISTINCT:
                 words = Counter(dict(words.most_common(LOCAL_DISTINCT // 4)))
-        top = words.most_common(LOCAL_TOP)
+        top = words.most_common(entries)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
-    proposed = df.select(F.col(text_col)).mapInArrow(propose, "word string, n long")
-    top = proposed.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries).collect()
+    every = max(1, df.count() // SAMPLE_TEXTS)
+    sample = df.select(F.col(text_col)).where(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0).repartition(SAMPLE_TASKS)
+    total: Counter = Counter()
+    for row in sample.mapInArrow(propose, "word string, n long").collect():
+        total[row["word"]] += row["n"]
     vocab = vocabulary(path)
-    return {r["word"]: len(vocab.library.model.tokenize(vocab.spelled(r["word"]))) for r in top}
+    top = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:entries]
+    return {word: len(vocab.library.model.tokenize(vocab.spelled(word))) for word, _ in top}
 
 
 def count_tokens(df: DataFrame, text_col: str = "text", path: str | None = None, keep: list[str] | None = None, limit: int = 1024, entries: int = TABLE_ENTRIES) -> DataFrame:
