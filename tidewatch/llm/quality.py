@@ -180,11 +180,14 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict:
     """Learn from the labels that are not held out: of each class the `sample_rows`
     rows first in an order by hash, as far as they fit SAMPLE_BYTES. Texts are learnt
-    from whole, as they are scored."""
+    from whole, as they are scored. Of several texts or labels of one doc_id the least
+    text, then the least label counts; a null text is an empty one; labels without a
+    doc_id, and such as are neither 0 nor 1, count for nothing. Without labels all texts
+    score a half; with those of one class, near that class."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     counts = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     pick = lambda q: rows.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    wanted = pick(0).unionByName(pick(1)).dropDuplicates(["doc_id"])
+    wanted = pick(0).unionByName(pick(1))
     found = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(wanted), "doc_id")  # at most 2 * sample_rows rows
 
     def cut(batches):
@@ -196,7 +199,8 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample_row
 
     chunks = 1 + F.greatest(F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) - CHUNK) / STEP), F.lit(0))
     order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    found = found.dropDuplicates(["doc_id"]).withColumn("taken", F.sum(chunks * CHUNK).over(order)).where(F.col("taken") <= SAMPLE_BYTES)
+    found = found.groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("x")).select("doc_id", "x.text", "x.quality")
+    found = found.withColumn("taken", F.sum(chunks * CHUNK).over(order)).where(F.col("taken") <= SAMPLE_BYTES)
     cuts = found.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int")).mapInArrow(cut, "doc_id long, data binary, quality int")
     sample = sorted((r["doc_id"], bytes(r["data"]), r["quality"]) for r in cuts.collect())
     total = sum(counts.values())
