@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidewatch.operators import lifecycle, relations, rollups, series, texts
+from tidewatch.operators import calendars, filtering, lifecycle, listing, relations, rollups, series, texts
 
-QUERIES: dict = rollups.QUERIES | relations.QUERIES | series.QUERIES | texts.QUERIES | lifecycle.QUERIES
-ORACLE_SQL: dict[str, str] = rollups.ORACLE_SQL | relations.ORACLE_SQL | series.ORACLE_SQL | texts.ORACLE_SQL | lifecycle.ORACLE_SQL
+MODULES = (rollups, relations, series, texts, lifecycle, filtering, calendars, listing)
+QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Query parameters that only track a visit (fixed values).
-TRACKING = "utm_[a-z]+|fbclid|gclid|ref"
-
 
 def median_of(values: Column, q: float = 0.5) -> Column:
     """Linear-interpolated quantile of an array; null if it is empty."""
@@ -31,16 +28,3 @@ def with_robust_z(df: DataFrame, value: str, history: str, name: str = "z") -> D
     z = F.when(F.size(h) < 8, 0.0).when(F.col("__spread") < 1e-9, far).otherwise(F.greatest(F.least(off / F.col("__spread"), F.lit(20.0)), F.lit(-20.0)))
     return steps.withColumn(name, z).drop("__middle", "__mad", "__iqr", "__spread")
 
-
-def plain_url(url: Column) -> Column:
-    """Lower-case scheme and host, no fragment, tracking parameters or final slash."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    host = F.lower(F.regexp_extract(bare, "^([a-zA-Z]+://[^/?]*)", 1))
-    rest = F.regexp_replace(bare, "^[a-zA-Z]+://[^/?]*", "")
-    rest = F.regexp_replace(rest, rf"([?&])(?:(?:{TRACKING})=[^&]*(?:&|$))+", "$1")
-    return F.concat(host, F.regexp_replace(rest, "[/?&]+$", ""))
-
-
-def domain(url: Column) -> Column:
-    """Host in lower case without www., m. or blog. in front."""
-    return F.regexp_replace(F.lower(F.regexp_extract(url, "^[a-zA-Z]+://([^/?#:]*)", 1)), r"^(www|m|blog)\.", "")

@@ -7,8 +7,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import series
+from tidewatch.operators.filtering import first_near, seconds
 from tidewatch.sources.tables import ARTICLES_SQL, ATTEMPTS_SQL, articles, attempts, table
 
+# Secrets in messages (fixed values).
+SECRETS = ["(?i)(api[_-]?key|token|secret)([ \\t]*[:=][ \\t]*)[^ \\t\\r\\n,&]+", "(?i)(client[_-]?secret)([ \\t]*[:=][ \\t]*)[^ \\t\\r\\n,&]+", "(?i)(authorization)([ \\t]*[:=][ \\t]*)(?:bearer[ \\t]+|basic[ \\t]+)?[^ \\t\\r\\n,;&]+"]
+# What tells that a database speaks, and that it is a conflict (fixed values).
+DATABASE_MARKS = ["sqlalchemy.exc", "psycopg.errors", "integrityerror", "uniqueviolation", "duplicate key value", "violates unique constraint", "database integrity conflict", "database operation failed", "[sql:", "[parameters:"]
+CONFLICT_MARKS = ["duplicate key", "uniqueviolation", "database integrity conflict"]
+CUT_FROM = "(?is)[ ]+(?:\\[sql:|\\[parameters:|\\(background on this error).*$"
+
 
 def data_quality_state(spark, sf_dir):
     """A slot is complete, partial or unavailable by the sources that succeeded in it."""
@@ -38,14 +46,13 @@ def collection_incidents(spark, sf_dir):
 
 
 def duplicate_rule(spark, sf_dir):
-    """An article repeats the story's earlier one if it comes within fifteen minutes;
-    sign-ups, which stand for comments, are never duplicates and are passed over."""
-    before = Window.partitionBy("company_id", "story").orderBy("article_id").rowsBetween(Window.unboundedPreceding, -1)
-    speaks = F.col("source") != "signup"
-    earlier = F.last(F.when(speaks, F.struct("article_id", "seen_at")), ignorenulls=True).over(before)
-    rows = articles(spark, sf_dir).withColumn("earlier", earlier)
-    near = F.col("seen_at") <= F.col("earlier.seen_at") + F.expr("INTERVAL 15 MINUTES")
-    return rows.select("article_id", F.when(near & speaks, F.col("earlier.article_id")).alias("duplicate_of"))
+    """An article repeats another of its story (which stands for its title) within fifteen
+    minutes to either side; the smallest id counts. Sign-ups, which stand for comments,
+    neither are duplicates nor have any."""
+    rows = articles(spark, sf_dir)
+    speaking = rows.where("source <> 'signup'").select(F.col("article_id").alias("raw_id"), F.concat_ws("/", "company_id", "story").alias("title"), seconds("published_at").alias("published"), seconds("created_at").alias("collected"))
+    found = first_near(speaking).withColumnRenamed("raw_id", "article_id")
+    return rows.select("article_id").join(found, "article_id", "left").select("article_id", F.col("of_title").alias("duplicate_of"))
 
 
 def band_decision(spark, sf_dir):
@@ -92,10 +99,58 @@ def group_split(spark, sf_dir):
     return rows.select("company_id", "story", F.when(share <= 0.7, "train").when(share <= 0.85, "validation").otherwise("test").alias("split"))
 
 
+def sanitized(message):
+    """An operator's summary of an error: secrets and authorisation masked, what a
+    database says told in two words only, what follows a statement cut off, 800
+    characters at most."""
+    text = F.trim(F.replace(F.coalesce(F.nullif(message, F.lit("")), F.lit("unknown collection error")), F.lit("\n"), F.lit(" ")))
+    for pattern in SECRETS:
+        text = F.regexp_replace(text, pattern, "$1$2[REDACTED]")
+    low = F.lower(text)
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    lead = F.when(low.startswith("pipeline:"), "pipeline: ").otherwise("")
+    cut = F.regexp_replace(text, CUT_FROM, "")
+    return F.when(has(CONFLICT_MARKS), F.concat(lead, F.lit("데이터 저장 충돌"))).when(has(DATABASE_MARKS), F.concat(lead, F.lit("데이터베이스 작업 실패"))).otherwise(F.substr(cut, F.lit(1), F.lit(800)))
+
+
+def error_code(message):
+    """A stable part of a fingerprint: what kind of error a message tells."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    has = lambda *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    code = F.when(has("timeout", "timed out"), "timeout").when(has("401", "403", "unauthorized"), "authentication").when(has("429", "rate"), "rate_limit").when(has("connection", "network"), "network")
+    return code.when(has("key") & has("설정"), "configuration").when(has("database integrity conflict", "데이터 저장 충돌"), "database_conflict").otherwise("provider_error")
+
+
+def error_messages(spark, sf_dir):
+    """Failed attempts with an error message, made of their numbers."""
+    i = F.col("attempt_id")
+    kinds = ["Timeout after 30s for api_key=abc%d, retry", "HTTP 401 Unauthorized: authorization: Bearer tok%d;x", "HTTP 429 rate limit", "connection reset by peer", "pipeline: IntegrityError duplicate key value %d", "psycopg.errors.Deadlock (x) [SQL: UPDATE t SET a=%d]", "provider said no (Background on this error at: http://x/%d)", "secret = s%d&b=1\nline two"]
+    message = F.element_at(F.array(*[F.format_string(k, i) if "%d" in k else F.lit(k) for k in kinds]), (i % len(kinds) + 1).cast("int"))
+    return attempts(spark, sf_dir).where(~F.col("succeeded")).withColumn("message", message)
+
+
 def error_sanitize(spark, sf_dir):
-    """Texts without addresses and named secrets, as their digests."""
-    hidden = F.regexp_replace(F.regexp_replace("text", r"https?://[^ \t\n\r]+", "<url>"), r"(token|password|key)([=:])[^ \t\n\r]+", "$1$2<hidden>")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(hidden).alias("digest"), (hidden != F.col("text")).alias("changed"))
+    """Error messages as an operator may see them, and their codes."""
+    return error_messages(spark, sf_dir).select("attempt_id", sanitized(F.col("message")).alias("summary"), error_code(F.col("message")).alias("code"))
+
+
+def incident_slots(spark, sf_dir):
+    """Incidents of a company's slot: quality, failed sources and codes make the
+    fingerprint; retries are due 1, 5 and 15 minutes after the first three failures in a
+    row of a fingerprint; a company has recovered when every failed source has succeeded
+    later."""
+    codes = error_messages(spark, sf_dir).select("attempt_id", error_code(sanitized(F.col("message"))).alias("code"))
+    rows = attempts(spark, sf_dir).join(codes, "attempt_id", "left")
+    last_ok = rows.where("succeeded").groupBy("company_id", "source").agg(F.max("slot").alias("last_ok"))
+    rows = rows.join(last_ok, ["company_id", "source"], "left")
+    failed = lambda c: F.array_sort(F.collect_set(F.when(~F.col("succeeded"), F.col(c))))
+    by_slot = rows.groupBy("company_id", "slot").agg(F.count_if("succeeded").alias("ok"), F.count_if(~F.col("succeeded")).alias("bad"), failed("source").alias("sources"), failed("code").alias("codes"), F.min(F.when(~F.col("succeeded"), F.coalesce(F.col("last_ok") > F.col("slot"), F.lit(False)))).alias("recovered")).where("bad > 0")
+    quality = F.when(F.col("ok") == 0, "unavailable").otherwise("partial")
+    material = F.concat_ws("|", "quality", F.array_join("sources", "|"), F.array_join("codes", "|"))
+    by_slot = by_slot.withColumn("quality", quality).withColumn("fingerprint", F.sha2(material, 256))
+    tried = Window.partitionBy("company_id", "fingerprint").orderBy("slot")
+    delay = F.element_at(F.array(*map(F.lit, (60, 300, 900))), F.least(F.col("attempt"), F.lit(3)).cast("int"))
+    return by_slot.withColumn("attempt", F.row_number().over(tried)).select("company_id", "slot", "quality", "fingerprint", F.col("attempt").cast("long").alias("attempt"), F.when((F.col("attempt") <= 3) & ~F.col("recovered"), F.col("slot") + F.make_dt_interval(secs=delay)).alias("retry_at"), "recovered")
 
 
 def period_cohort(spark, sf_dir):
@@ -106,15 +161,16 @@ def period_cohort(spark, sf_dir):
 
 
 def raw_merge(spark, sf_dir):
-    """Documents of one source, language and beginning: the longest stays, then the first."""
-    rows = table(spark, sf_dir, "documents").groupBy("source", "lang", F.substring("text", 1, 40).alias("beginning"))
+    """Documents of one source, language and text are one: the longest stays, then the
+    first. Texts are told apart by a digest of the whole."""
+    rows = table(spark, sf_dir, "documents").groupBy("source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"))
     kept = rows.agg(F.max_by("doc_id", F.struct(F.col("n_chars"), -F.col("doc_id"))).alias("doc_id"), F.count(F.lit(1)).alias("merged"), F.max("n_chars").alias("n_chars"))
     return kept.select("source", "lang", "doc_id", "merged", "n_chars")
 
 
 def raw_merge_content(spark, sf_dir):
     """Documents of one source, language and whole text, white space aside: the longest
-    stays, then the first. raw_merge, as its SQL has it, merges by the beginning only."""
+    stays, then the first."""
     content = F.sha2(F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " ")), 256)
     rows = table(spark, sf_dir, "documents").groupBy("source", "lang", content.alias("content"))
     kept = rows.agg(F.max_by("doc_id", F.struct(F.col("n_chars"), -F.col("doc_id"))).alias("doc_id"), F.count(F.lit(1)).alias("merged"), F.max("n_chars").alias("n_chars"))
@@ -142,7 +198,20 @@ def agreement_rate(spark, sf_dir):
     return by.select("lang", "n", F.round("po", 6).alias("agreement"), F.round(F.when(chance < 1, (F.col("po") - chance) / (1 - chance)), 6).alias("kappa"))
 
 
-QUERIES = {f.__name__: f for f in (data_quality_state, source_health, collection_incidents, duplicate_rule, band_decision, set_diff_sync, snapshot_first8, tier_lookup, group_split, error_sanitize, period_cohort, raw_merge, raw_merge_content, notifications, authoritative_pick, agreement_rate)}
+QUERIES = {f.__name__: f for f in (data_quality_state, source_health, collection_incidents, duplicate_rule, band_decision, set_diff_sync, snapshot_first8, tier_lookup, group_split, error_sanitize, period_cohort, raw_merge, raw_merge_content, incident_slots, notifications, authoritative_pick, agreement_rate)}
+
+_MESSAGES_SQL = f"""{ATTEMPTS_SQL}, said AS (SELECT *, CASE attempt_id % 8 WHEN 0 THEN 'Timeout after 30s for api_key=abc' || attempt_id || ', retry' WHEN 1 THEN 'HTTP 401 Unauthorized: authorization: Bearer tok' || attempt_id || ';x' WHEN 2 THEN 'HTTP 429 rate limit' WHEN 3 THEN 'connection reset by peer'
+    WHEN 4 THEN 'pipeline: IntegrityError duplicate key value ' || attempt_id WHEN 5 THEN 'psycopg.errors.Deadlock (x) [SQL: UPDATE t SET a=' || attempt_id || ']' WHEN 6 THEN 'provider said no (Background on this error at: http://x/' || attempt_id || ')' ELSE 'secret = s' || attempt_id || '&b=1' || chr(10) || 'line two' END AS message FROM attempts WHERE NOT succeeded),
+  masked AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(trim(replace(message, chr(10), ' ')), '{SECRETS[0]}', '\\1\\2[REDACTED]', 'g'), '{SECRETS[1]}', '\\1\\2[REDACTED]', 'g'), '{SECRETS[2]}', '\\1\\2[REDACTED]', 'g') AS plain FROM said),
+  marked AS (SELECT *, lower(plain) AS low FROM masked)"""
+_any_sql = lambda words: " OR ".join(f"contains(low, '{w}')" for w in words)
+_SUMMARY_SQL = f"CASE WHEN {_any_sql(CONFLICT_MARKS)} THEN CASE WHEN starts_with(low, 'pipeline:') THEN 'pipeline: ' ELSE '' END || '데이터 저장 충돌' WHEN {_any_sql(DATABASE_MARKS)} THEN CASE WHEN starts_with(low, 'pipeline:') THEN 'pipeline: ' ELSE '' END || '데이터베이스 작업 실패' ELSE substr(regexp_replace(plain, '{CUT_FROM}', ''), 1, 800) END"
+
+
+def _code_sql(message: str) -> str:
+    has = lambda *words: "(" + " OR ".join(f"contains(lower({message}), '{w}')" for w in words) + ")"
+    return f"CASE WHEN {has('timeout', 'timed out')} THEN 'timeout' WHEN {has('401', '403', 'unauthorized')} THEN 'authentication' WHEN {has('429', 'rate')} THEN 'rate_limit' WHEN {has('connection', 'network')} THEN 'network' WHEN {has('key')} AND {has('설정')} THEN 'configuration' WHEN {has('database integrity conflict', '데이터 저장 충돌')} THEN 'database_conflict' ELSE 'provider_error' END"
+
 
 ORACLE_SQL = {
     "data_quality_state": f"""WITH {ATTEMPTS_SQL}, b AS (SELECT company_id, slot, source, bool_or(succeeded) AS ok FROM attempts GROUP BY ALL),
@@ -154,8 +223,9 @@ ORACLE_SQL = {
       g AS (SELECT company_id, source, run, min(slot) AS began, min(slot) FILTER (WHERE NOT succeeded) AS opened_at, max(slot) FILTER (WHERE NOT succeeded) AS last_failed_at, count(*) FILTER (WHERE NOT succeeded) AS failures FROM r GROUP BY ALL),
       n AS (SELECT *, lead(began) OVER (PARTITION BY company_id, source ORDER BY run) AS recovered_at FROM g)
       SELECT md5(company_id || '|' || source || '|' || run) AS fingerprint, company_id, source, opened_at, last_failed_at, failures, recovered_at FROM n WHERE failures > 0""",
-    "duplicate_rule": f"""WITH {ARTICLES_SQL} SELECT article_id, CASE WHEN seen_at <= lag(seen_at) OVER w + INTERVAL 15 MINUTES AND source <> 'signup' AND lag(source) OVER w <> 'signup' THEN lag(article_id) OVER w END AS duplicate_of
-      FROM articles WINDOW w AS (PARTITION BY company_id, story ORDER BY article_id)""",
+    "duplicate_rule": f"""WITH {ARTICLES_SQL}, s AS (SELECT * FROM articles WHERE source <> 'signup'), f AS (SELECT a.article_id, min(b.article_id) AS duplicate_of FROM s a JOIN s b ON a.company_id = b.company_id AND a.story = b.story AND b.article_id < a.article_id
+        AND CASE WHEN a.published_at IS NOT NULL AND b.published_at IS NOT NULL THEN abs(floor(epoch(a.published_at)) - floor(epoch(b.published_at))) ELSE abs(floor(epoch(a.created_at)) - floor(epoch(b.created_at))) END <= 900 GROUP BY 1)
+      SELECT article_id, duplicate_of FROM articles LEFT JOIN f USING (article_id)""",
     "band_decision": """WITH s AS (SELECT l_discount * 10 AS r, l_tax * 12 AS a FROM lineitem), t AS (SELECT r, CASE WHEN a >= 0.85::DOUBLE THEN 'advertisement' WHEN a >= 0.55::DOUBLE THEN 'possible_advertisement' WHEN r >= 0.7::DOUBLE THEN 'relevant' WHEN r <= 0.3::DOUBLE THEN 'unrelated' ELSE 'uncertain' END AS reason FROM s)
       SELECT reason, CASE WHEN reason IN ('advertisement', 'unrelated') THEN 'rejected' WHEN reason = 'relevant' THEN 'accepted' ELSE 'review' END AS decision, count(*) AS n, round(avg(0.5::DOUBLE + abs(r - 0.5::DOUBLE)), 6) AS confidence FROM t GROUP BY 1, 2""",
     "set_diff_sync": f"""WITH {ARTICLES_SQL}, s AS (SELECT company_id, story, round(max(negative), 6) AS stored FROM articles WHERE seen_at < TIMESTAMP '2024-01-16' GROUP BY ALL), w AS (SELECT company_id, story, round(max(negative), 6) AS wanted FROM articles WHERE seen_at >= TIMESTAMP '2024-01-16' GROUP BY ALL)
@@ -167,12 +237,16 @@ ORACLE_SQL = {
       SELECT company_id, tier, count(*) AS articles FROM t GROUP BY ALL""",
     "group_split": f"""WITH {ARTICLES_SQL}, g AS (SELECT company_id, story, min(seen_at) AS first_at FROM articles GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY first_at, story) / count(*) OVER (PARTITION BY company_id) AS share FROM g)
       SELECT company_id, story, CASE WHEN share <= 0.7::DOUBLE THEN 'train' WHEN share <= 0.85::DOUBLE THEN 'validation' ELSE 'test' END AS split FROM s""",
-    "error_sanitize": r"""WITH h AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, 'https?://[^ \t\n\r]+', '<url>', 'g'), '(token|password|key)([=:])[^ \t\n\r]+', '\1\2<hidden>', 'g') AS hidden FROM documents)
-      SELECT doc_id, md5(hidden) AS digest, hidden <> text AS changed FROM h""",
+    "error_sanitize": f"""WITH {_MESSAGES_SQL} SELECT attempt_id, {_SUMMARY_SQL} AS summary, {_code_sql('message')} AS code FROM marked""",
+    "incident_slots": f"""WITH {_MESSAGES_SQL}, c AS (SELECT attempt_id, {_code_sql(_SUMMARY_SQL)} AS code FROM marked), o AS (SELECT company_id, source, max(slot) AS last_ok FROM attempts WHERE succeeded GROUP BY ALL),
+      b AS (SELECT company_id, slot, count(*) FILTER (WHERE succeeded) AS ok, list_sort(list(DISTINCT source) FILTER (WHERE NOT succeeded)) AS sources, list_sort(list(DISTINCT code) FILTER (WHERE NOT succeeded)) AS codes, bool_and(coalesce(last_ok > slot, FALSE)) FILTER (WHERE NOT succeeded) AS recovered
+        FROM attempts LEFT JOIN c USING (attempt_id) LEFT JOIN o USING (company_id, source) GROUP BY ALL HAVING count(*) FILTER (WHERE NOT succeeded) > 0),
+      q AS (SELECT *, CASE WHEN ok = 0 THEN 'unavailable' ELSE 'partial' END AS quality FROM b), f AS (SELECT *, sha256(quality || '|' || array_to_string(sources, '|') || '|' || array_to_string(codes, '|')) AS fingerprint FROM q), n AS (SELECT *, row_number() OVER (PARTITION BY company_id, fingerprint ORDER BY slot) AS attempt FROM f)
+      SELECT company_id, slot, quality, fingerprint, attempt, CASE WHEN attempt <= 3 AND NOT recovered THEN slot + to_seconds(CASE attempt WHEN 1 THEN 60 WHEN 2 THEN 300 ELSE 900 END) END AS retry_at, recovered FROM n""",
     "period_cohort": f"""WITH {ARTICLES_SQL}, s AS (SELECT company_id, story, CAST(max(seen_at) AS DATE) AS day, count(*) AS n, max(negative) AS worst FROM articles GROUP BY company_id, story)
       SELECT day, CASE WHEN worst >= 0.85::DOUBLE THEN 'risk' ELSE 'non_risk' END AS state, count(*) AS stories, CAST(sum(n) AS BIGINT) AS articles FROM s WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' AND n >= 2 GROUP BY 1, 2""",
-    "raw_merge": """SELECT source, lang, doc_id, count(*) OVER w AS merged, n_chars FROM documents WINDOW w AS (PARTITION BY source, lang, substring(text, 1, 40))
-      QUALIFY row_number() OVER (PARTITION BY source, lang, substring(text, 1, 40) ORDER BY n_chars DESC, doc_id) = 1""",
+    "raw_merge": """SELECT source, lang, doc_id, count(*) OVER w AS merged, n_chars FROM documents WINDOW w AS (PARTITION BY source, lang, coalesce(text, ''))
+      QUALIFY row_number() OVER (PARTITION BY source, lang, coalesce(text, '') ORDER BY n_chars DESC, doc_id) = 1""",
     "raw_merge_content": r"""WITH d AS (SELECT *, sha256(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) AS content FROM documents)
       SELECT source, lang, doc_id, count(*) OVER (PARTITION BY source, lang, content) AS merged, n_chars FROM d
       QUALIFY row_number() OVER (PARTITION BY source, lang, content ORDER BY n_chars DESC, doc_id) = 1""",

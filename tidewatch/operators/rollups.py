@@ -52,12 +52,18 @@ def eligible_having(spark, sf_dir):
 
 
 def story_sentiment(spark, sf_dir):
-    """The label most frequent in a story; neutral if none is strictly ahead."""
-    share = {k: F.avg((F.col("label") == k).cast("double")) for k in ("negative", "neutral", "positive")}
-    rows = articles(spark, sf_dir).groupBy("company_id", "story").agg(*[v.alias(k) for k, v in share.items()])
+    """A story's sentiment by the means of three probabilities: an article's own, or else
+    1 or 0 by its label, or else none. The one strictly ahead wins, neutral if none is;
+    a story without any value of one kind is pending."""
+    i, rest = F.col("article_id"), 1 - F.col("negative")
+    told = {"negative": F.col("negative"), "neutral": rest * 0.4, "positive": rest * 0.6}
+    label = F.when(i % 8 != 0, F.col("label"))
+    value = {k: F.when(i % 4 != 0, v).when(label == k, 1.0).when(label.isNotNull(), 0.0) for k, v in told.items()}
+    rows = articles(spark, sf_dir).groupBy("company_id", "story").agg(*[F.avg(v).alias(k) for k, v in value.items()])
     ahead = lambda a, b, c: (F.col(a) > F.col(b)) & (F.col(a) > F.col(c))
-    label = F.when(ahead("negative", "neutral", "positive"), "negative").when(ahead("positive", "neutral", "negative"), "positive").otherwise("neutral")
-    return rows.select("company_id", "story", label.alias("sentiment"))
+    missing = F.col("negative").isNull() | F.col("neutral").isNull() | F.col("positive").isNull()
+    state = F.when(missing, "pending").when(ahead("negative", "neutral", "positive"), "negative").when(ahead("positive", "neutral", "negative"), "positive").otherwise("neutral")
+    return rows.select("company_id", "story", state.alias("sentiment"))
 
 
 def source_concentration(spark, sf_dir):
@@ -177,8 +183,8 @@ ORACLE_SQL = {
       FROM filters WHERE newest = 1 GROUP BY ALL""",
     "eligible_having": f"""WITH {ARTICLES_SQL} SELECT company_id, story, count(DISTINCT article_id) AS articles, min(seen_at) AS first_at, max(seen_at) AS last_at FROM articles GROUP BY company_id, story
       HAVING count(DISTINCT article_id) >= 2 AND max(seen_at) BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'""",
-    "story_sentiment": f"""WITH {ARTICLES_SQL}, s AS (SELECT company_id, story, avg((label = 'negative')::INT) AS a, avg((label = 'neutral')::INT) AS b, avg((label = 'positive')::INT) AS c FROM articles GROUP BY ALL)
-      SELECT company_id, story, CASE WHEN a > b AND a > c THEN 'negative' WHEN c > b AND c > a THEN 'positive' ELSE 'neutral' END AS sentiment FROM s""",
+    "story_sentiment": f"""WITH {ARTICLES_SQL}, v AS (SELECT company_id, story, CASE WHEN article_id % 4 <> 0 THEN negative WHEN article_id % 8 <> 0 THEN (label = 'negative')::INT END AS n, CASE WHEN article_id % 4 <> 0 THEN (1 - negative) * 0.4::DOUBLE WHEN article_id % 8 <> 0 THEN (label = 'neutral')::INT END AS u, CASE WHEN article_id % 4 <> 0 THEN (1 - negative) * 0.6::DOUBLE WHEN article_id % 8 <> 0 THEN (label = 'positive')::INT END AS p FROM articles),
+      a AS (SELECT company_id, story, avg(n) AS n, avg(u) AS u, avg(p) AS p FROM v GROUP BY ALL) SELECT company_id, story, CASE WHEN n IS NULL OR u IS NULL OR p IS NULL THEN 'pending' WHEN n > u AND n > p THEN 'negative' WHEN p > u AND p > n THEN 'positive' ELSE 'neutral' END AS sentiment FROM a""",
     "source_concentration": f"""WITH {ARTICLES_SQL}, s AS (SELECT company_id, source, count(*) AS n FROM articles GROUP BY ALL)
       SELECT company_id, round(max(n) / sum(n), 6) AS concentration, round(count(*) / sum(n), 6) AS diversity, arg_max(source, (n, source)) AS main_source FROM s GROUP BY company_id""",
     "label_counts_zero_filled": f"""WITH {ARTICLES_SQL} SELECT l.label, count(a.article_id) AS n FROM (VALUES ('negative'), ('neutral'), ('positive'), ('unknown')) l(label) LEFT JOIN articles a ON a.label = l.label GROUP BY l.label""",

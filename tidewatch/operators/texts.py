@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.scalar import domain, plain_url
+from tidewatch.functions import text as T
+from tidewatch.operators import filtering
 from tidewatch.sources.tables import table
 
-# Words of the advertising and keyword rules (fixed values).
-AD_WORDS = ["licensed", "password", "token", "free", "sale"]
-KEYWORDS = ["the", "der", "les", "que"]
+# Kinds of risk and words of the documents' languages that stand for theirs.
+KINDS = {
+    "legal": ["thor", "une", "nicht"], "safety": ["erin", "dans", "ist"], "labour": ["stand", "avec"], "finance": ["anea", "sur"],
+    "product": ["onan", "pour"], "privacy": ["token", "password", "key"], "governance": ["licensed", "licence"], "reputation": ["attion", "que", "las"],
+}
 # Query vectors of one block and vectors of one shard, over all labels.
 BLOCK_QUERIES, SHARD_ROWS = 1_024, 2_048
 
 
 def url_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", plain_url(F.col("url")).alias("plain"), domain(F.col("url")).alias("domain"))
+    """Page addresses for comparing, for keeping, and bare; and the domain."""
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", T.normalized_url(u).alias("plain"), T.canonical_url(u).alias("canonical"), T.bare_url(u).alias("bare"), T.source_domain(u).alias("domain"))
 
 
 def source_domain_credibility(spark, sf_dir):
-    """Pages of each domain and a credibility by kind of domain."""
-    d = domain(F.col("url"))
-    score = F.when(d.endswith(".org"), 0.9).when(d.endswith(".com"), 0.7).otherwise(0.5)
-    return table(spark, sf_dir, "pages").groupBy(d.alias("domain")).agg(F.count(F.lit(1)).alias("pages"), F.max(score).alias("credibility"))
+    """Pages of each domain and how far it is to be believed."""
+    rows = table(spark, sf_dir, "pages").select(T.source_domain(F.when(F.col("page_id") % 10 != 0, F.col("url"))).alias("domain"))
+    return rows.groupBy("domain").agg(F.count(F.lit(1)).alias("pages")).withColumn("credibility", T.credibility(F.col("domain")))
 
 
 def content_hash_dedupe(spark, sf_dir):
@@ -33,18 +39,19 @@ def content_hash_dedupe(spark, sf_dir):
 
 
 def ad_rules_score(spark, sf_dir):
-    """Advertising score of a document: words of the list, then shouting."""
-    text = F.lower("text")
-    hits = sum((F.contains(text, F.lit(w)).cast("int") for w in AD_WORDS), F.lit(0))
-    score = F.least(hits * 0.3 + F.contains(F.col("text"), F.lit("!!")).cast("int") * 0.4, F.lit(1.0))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(score, 6).alias("ad_score"), (score >= 0.4).alias("is_ad"))
+    """Advertising score of a document by the weighted rules, and its band."""
+    rows = filtering.filter_ads(spark, sf_dir)
+    band = F.when(F.col("ad_score") >= filtering.AD_REJECT, "reject").when(F.col("ad_score") >= filtering.AD_REVIEW, "review").otherwise("pass")
+    return rows.select(F.col("raw_id").alias("doc_id"), "ad_score", band.alias("band"))
 
 
 def keyword_share(spark, sf_dir):
-    """Share of documents of each language that hold each keyword as a word."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[ \n]+"))
-    rows = table(spark, sf_dir, "documents").select("lang", words.alias("words"))
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.array_contains("words", w).cast("double")), 6).alias(f"share_{w}") for w in KEYWORDS])
+    """Per language the share of documents that hold a word of each of eight kinds of
+    risk, in normalised text, between other than letters and digits."""
+    norm = T.normalized(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("lang", norm.alias("norm"))
+    share = [F.round(F.avg(reduce(lambda a, b: a | b, [T.holds_term(F.col("norm"), w) for w in words]).cast("double")), 6).alias(f"share_{kind}") for kind, words in KINDS.items()]
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *share)
 
 
 def token_jaccard_items(spark, sf_dir):
@@ -149,12 +156,14 @@ def binary_metrics(spark, sf_dir):
 
 
 def rank_auc(spark, sf_dir):
-    """Area under the curve of text length as a score of quality, ties at half."""
+    """Area under the curve of text length as a score of quality, ties at half; null if
+    one class is missing."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("n_chars").alias("s"), F.col("quality").alias("y"))
     by = rows.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     won = by.withColumn("won", F.col("pos") * (below + F.col("neg") * 0.5))
-    return won.agg(F.round(F.sum("won") / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
+    pairs = F.sum("pos") * F.sum("neg")
+    return won.agg(F.round(F.when(pairs > 0, F.sum("won") / pairs), 6).alias("auc"))
 
 
 def threshold_grid(spark, sf_dir):
@@ -169,16 +178,13 @@ def threshold_grid(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (url_normalize, source_domain_credibility, content_hash_dedupe, ad_rules_score, keyword_share, token_jaccard_items, token_jaccard_pairs, vector_relative_cut, vector_relative_cut_all, first_turn_of_conversation, binary_metrics, rank_auc, threshold_grid)}
 
-_DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^(www|m|blog)\.', '')"
 _LABELLED = "SELECT d.*, quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
 ORACLE_SQL = {
-    "url_normalize": rf"""WITH b AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages),
-      r AS (SELECT page_id, url, lower(regexp_extract(bare, '^([a-zA-Z]+://[^/?]*)', 1)) AS host, regexp_replace(regexp_replace(bare, '^[a-zA-Z]+://[^/?]*', ''), '([?&])(?:(?:utm_[a-z]+|fbclid|gclid|ref)=[^&]*(?:&|$))+', '\1', 'g') AS rest FROM b)
-      SELECT page_id, host || regexp_replace(rest, '[/?&]+$', '') AS plain, {_DOMAIN} AS domain FROM r""",
-    "source_domain_credibility": f"WITH d AS (SELECT {_DOMAIN} AS domain FROM pages) SELECT domain, count(*) AS pages, max(CASE WHEN domain LIKE '%.org' THEN 0.9::DOUBLE WHEN domain LIKE '%.com' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END) AS credibility FROM d GROUP BY 1",
+    "url_normalize": f"SELECT page_id, {T.normalized_url_sql('url')} AS plain, {T.canonical_url_sql('url')} AS canonical, {T.bare_url_sql('url')} AS bare, {T.source_domain_sql('url')} AS domain FROM pages",
+    "source_domain_credibility": f"WITH d AS (SELECT {T.source_domain_sql('CASE WHEN page_id % 10 <> 0 THEN url END')} AS domain FROM pages) SELECT domain, count(*) AS pages, {T.credibility_sql('domain')} AS credibility FROM d GROUP BY domain",
     "content_hash_dedupe": "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
-    "ad_rules_score": "WITH s AS (SELECT doc_id, least((" + " + ".join(f"contains(lower(text), '{w}')::INT" for w in AD_WORDS) + ") * 0.3::DOUBLE + contains(text, '!!')::INT * 0.4::DOUBLE, 1.0::DOUBLE) AS score FROM documents) SELECT doc_id, round(score, 6) AS ad_score, score >= 0.4::DOUBLE AS is_ad FROM s",
-    "keyword_share": r"WITH w AS (SELECT lang, regexp_split_to_array(lower(text), '[ \n]+') AS words FROM documents) SELECT lang, count(*) AS n, " + ", ".join(f"round(avg(list_contains(words, '{w}')::INT), 6) AS share_{w}" for w in KEYWORDS) + " FROM w GROUP BY lang",
+    "ad_rules_score": f"SELECT raw_id AS doc_id, ad_score, CASE WHEN ad_score >= {filtering.AD_REJECT}::DOUBLE THEN 'reject' WHEN ad_score >= {filtering.AD_REVIEW}::DOUBLE THEN 'review' ELSE 'pass' END AS band FROM ({filtering.ORACLE_SQL['filter_ads']})",
+    "keyword_share": f"WITH n AS (SELECT lang, {T.normalized_sql('text')} AS norm FROM documents) SELECT lang, count(*) AS n, " + ", ".join(f"round(avg(({' OR '.join(T.holds_term_sql('norm', w) for w in words)})::INT), 6) AS share_{kind}" for kind, words in KINDS.items()) + " FROM n GROUP BY lang",
     "token_jaccard_items": r"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \n]+'), lambda w: length(w) >= 5)) AS words FROM benchmark)
       SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))), 6) AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.words, b.words)) > 0""",
     "token_jaccard_pairs": r"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \n]+'), lambda w: w <> '')) AS words FROM benchmark)
@@ -195,7 +201,7 @@ ORACLE_SQL = {
     "binary_metrics": f"""WITH r AS (SELECT quality = 1 AS y, NOT contains(text, '!!') AS p FROM ({_LABELLED})), c AS (SELECT count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE NOT y AND p) AS fp, count(*) FILTER (WHERE y AND NOT p) AS fn, count(*) FILTER (WHERE NOT y AND NOT p) AS tn FROM r)
       SELECT tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM c""",
     "rank_auc": f"""WITH r AS (SELECT n_chars AS s, quality AS y FROM ({_LABELLED}))
-      SELECT round((SELECT sum(CASE WHEN a.s > b.s THEN 1.0::DOUBLE WHEN a.s = b.s THEN 0.5::DOUBLE ELSE 0 END) FROM r a JOIN r b ON a.y = 1 AND b.y = 0) / ((SELECT count(*) FROM r WHERE y = 1) * (SELECT count(*) FROM r WHERE y = 0)), 6) AS auc""",
+      SELECT round((SELECT sum(CASE WHEN a.s > b.s THEN 1.0::DOUBLE WHEN a.s = b.s THEN 0.5::DOUBLE ELSE 0 END) FROM r a JOIN r b ON a.y = 1 AND b.y = 0) / nullif((SELECT count(*) FROM r WHERE y = 1) * (SELECT count(*) FROM r WHERE y = 0), 0), 6) AS auc""",
     "threshold_grid": f"""WITH r AS (SELECT CAST(floor(least(n_chars / 200, 20)) AS BIGINT) AS cell, quality AS y FROM ({_LABELLED})), g AS (SELECT DISTINCT cell FROM r)
       SELECT cell, CAST((SELECT sum(y) FROM r WHERE r.cell >= g.cell) AS BIGINT) AS tp, (SELECT count(*) FROM r WHERE r.cell >= g.cell) AS taken,
       round(5 * (SELECT sum(y) FROM r WHERE r.cell >= g.cell) / (4 * (SELECT sum(y) FROM r) + (SELECT count(*) FROM r WHERE r.cell >= g.cell)), 6) AS f2 FROM g""",

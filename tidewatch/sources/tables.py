@@ -13,9 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an article: its company, source, times, negative probability, label and
-    story. The publication time is missing for some; `seen_at` falls back on creation."""
+    story. An article is published up to 70 minutes before it is created here; the
+    publication time is missing for some, and `seen_at` falls back on creation."""
     negative = F.least(F.col("value") / 100, F.lit(1.0))
-    published = F.when(F.col("event_id") % 7 != 0, F.col("ts"))
+    published = F.when(F.col("event_id") % 7 != 0, F.col("ts") - F.make_dt_interval(mins=(F.col("event_id") % 11 * 7).cast("int")))
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("article_id"), (F.col("user_id") % 50).alias("company_id"), F.col("event_type").alias("source"),
         published.alias("published_at"), F.col("ts").alias("created_at"), F.coalesce(published, F.col("ts")).alias("seen_at"), negative.alias("negative"),
@@ -42,7 +43,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ARTICLES_SQL = """articles AS (SELECT event_id AS article_id, user_id % 50 AS company_id, event_type AS source,
-  CASE WHEN event_id % 7 <> 0 THEN ts END AS published_at, ts AS created_at, ts AS seen_at, least(value / 100, 1.0) AS negative,
+  CASE WHEN event_id % 7 <> 0 THEN ts - to_minutes(CAST(event_id % 11 * 7 AS INT)) END AS published_at, ts AS created_at, CASE WHEN event_id % 7 <> 0 THEN ts - to_minutes(CAST(event_id % 11 * 7 AS INT)) ELSE ts END AS seen_at, least(value / 100, 1.0) AS negative,
   CASE WHEN least(value / 100, 1.0) >= 0.66 THEN 'negative' WHEN least(value / 100, 1.0) >= 0.33 THEN 'neutral' ELSE 'positive' END AS label,
   CAST(json_extract(props, '$.k') AS BIGINT) AS story FROM events)"""
 FILTERS_SQL = """filters AS (SELECT l_orderkey AS raw_id, l_returnflag AS decision, l_linestatus AS status, l_shipdate AS filtered_at, l_discount AS confidence,
