@@ -62,10 +62,24 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return settled
 
 
+def settle_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """`settle`, as a table in buckets of `key`, one for each shuffle partition: joins
+    on the key do not shuffle it again. For keys that are few rows each only, as a
+    bucket is one task's. `settled_at` read as plain Parquet has no buckets."""
+    spark, table = df.sparkSession, f"tidewatch_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").option("path", path).saveAsTable(table)
+    settled = spark.table(table)
+    settled.settled_at, settled.settled_as = path, table
+    return settled
+
+
 def release(*tables: DataFrame) -> None:
     """Delete settled tables that nothing reads any more. Frames made from a settled
     one keep no file of their own; they must be settled first."""
     for df in tables:
+        if "settled_as" in vars(df):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.settled_as}")
         _delete(df.sparkSession, df.settled_at)
 
 

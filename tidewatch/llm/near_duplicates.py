@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import release, settle, text_batches
+from tidewatch.llm.common import release, settle, settle_by, text_batches
 from tidewatch.llm.components import merged
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -315,7 +315,7 @@ def prefix_pairs(weighted: DataFrame, of_text: DataFrame, similarity: float) ->
     other = index.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("tid", "label", "size", "rest")])
     enough = (F.col("label") != F.col("label2")) & (F.col("size2") <= F.col("size") * (1 + ROUNDING)) & alike_in_size("size", "size2", similarity)
     enough = enough & (F.least("rest", "rest2") >= (F.col("size") + F.col("size2")) * (s / (1 + s)))
-    pairs = probe.join(other, "shingle").where(enough).select(F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b"))
+    pairs = probe.join(other, "shingle").where(enough).select(F.col("tid").alias("a"), F.col("tid2").alias("b"))
     out = settle(pairs.distinct(), "nd-pairs")
     release(weighted, sizes, counts, shared, probe, index)
     return out
@@ -329,19 +329,21 @@ def classes(docs: DataFrame, text_col: str = "text", similarity: float = SIMILAR
     spark = docs.sparkSession
     text_batches(spark)
     keyed = docs.select(text_key(F.col(text_col)).alias("tid"), F.col(text_col).alias("text")).where(F.col("tid").isNotNull())
-    every = settle(keyed.groupBy("tid").agg(F.first("text").alias("text")), "nd-texts")
+    every = settle_by(keyed.groupBy("tid").agg(F.first("text").alias("text")), "tid", "nd-texts")
     table = spark.sparkContext.broadcast(idf_table(every))
     buckets = settle(every.mapInArrow(_bands(table, bands, rows), "bucket long, tid binary, size float"), "nd-buckets")
     met = settle(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "nd-met")
     found = settle(buckets.join(met, "bucket"), "nd-found")
     central = settle(found.groupBy("tid").agg(F.sum("texts").alias("central")), "nd-central")
     members = settle(found.join(central, "tid").select("bucket", "tid", "size", "central"), "nd-members")
-    texts = settle(every.join(central, "tid", "left_semi"), "nd-candidates")
+    texts = settle_by(every.join(central, "tid", "left_semi"), "tid", "nd-candidates")
+    plain = spark.read.schema(texts.schema).parquet(texts.settled_at)
     release(every, buckets, met, found, central)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        # b may be the head of a large group: that side is dealt anew, so that it can be split
         left = pairs.join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a")
-        full = left.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+        full = left.join(plain.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
         links = settle(full.mapInArrow(_verify(table, similarity), "a binary, b binary"), "nd-links")
         release(pairs)
         return links
@@ -363,7 +365,7 @@ def classes(docs: DataFrame, text_col: str = "text", similarity: float = SIMILAR
         left = settle(left.where("tid <> head_tid"), "nd-left")
         release(old, apart)
         pairs = left.where((F.col("label") != F.col("head_label")) & alike_in_size("size", "head_size", similarity))
-        pairs = settle(pairs.select(F.least("tid", "head_tid").alias("a"), F.greatest("tid", "head_tid").alias("b")).distinct(), "nd-pairs")
+        pairs = settle(pairs.select(F.col("tid").alias("a"), F.col("head_tid").alias("b")).distinct(), "nd-pairs")
         links = verified(pairs)
         labels = merged(labels, links)
         members = left.select("bucket", "tid", "size", "central")
