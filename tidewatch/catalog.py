@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewatch.operators import calendars, filtering, lifecycle, listing, relations, rollups, series, texts
+from tidewatch.operators import calendars, checks, evaluation, filtering, intervals, lifecycle, listing, relations, response, rollups, series, stories, texts
 
-MODULES = (rollups, relations, series, texts, lifecycle, filtering, calendars, listing)
+MODULES = (rollups, relations, series, texts, lifecycle, filtering, calendars, listing, intervals, checks, evaluation, stories, response)
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
