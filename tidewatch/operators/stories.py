@@ -85,13 +85,14 @@ def matched_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of a company's items that tell one event (raw ids a < b, score): lexical
     similarity, shared concepts and hours apart decide.
 
-    A match needs a token that both titles share (without one, no title scores above
-    0.55, and none of the rules below holds), so items meet on company and token, in
-    buckets of thirty days and the next. The sequence ratio is taken only of pairs that
-    could still match whatever it is."""
+    A match needs a token that both titles share, equal titles, or a shared action or
+    incident (without them no pair scores 0.66, and the rules below that ask for one), so
+    items meet on company and one of these, in buckets of thirty days and the next. The
+    sequence ratio is taken only of pairs that could still match whatever it is."""
     ready = prepared(rows)
-    keyed = ready.select("company_id", F.struct("raw_id", "t", "body", "tt", "bt", "tc", "bc", "tg", "bg", "concepts", "at").alias("x"), F.explode("tt").alias("token"), F.floor(F.col("at") / (FOLLOW_UP * 3600)).alias("bucket"))
-    light = keyed.select("company_id", "token", "bucket", F.col("x.raw_id").alias("id"), F.col("x.at").alias("at"))
+    strong = F.filter("concepts", lambda c: c["key"].startswith("action:") | c["key"].startswith("incident:"))
+    signs = F.concat("tt", F.transform(strong, lambda c: c["key"]), F.when(F.col("tc") != "", F.array(F.concat(F.lit("="), "tc"))).otherwise(F.array().cast("array<string>")))
+    light = ready.select("company_id", F.explode(signs).alias("token"), F.floor(F.col("at") / (FOLLOW_UP * 3600)).alias("bucket"), F.col("raw_id").alias("id"), "at")
     other = light.select("company_id", "token", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.col("id").alias("b"), F.col("at").alias("at_b"))
     met = light.withColumnRenamed("id", "a").join(other, ["company_id", "token", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("at") - F.col("at_b")) <= FOLLOW_UP * 3600)).select("a", "b").distinct()
     side = lambda name: ready.select(F.col("raw_id").alias(name), F.struct("t", "body", "tt", "bt", "tc", "bc", "tg", "bg", "concepts", "at").alias(f"x{name}"))
