@@ -211,8 +211,8 @@ def home_ratios(spark, sf_dir):
     rows = articles(spark, sf_dir).withColumn("day", F.to_date("seen_at"))
     told = F.when(F.col("article_id") % 7 != 3, F.col("label"))
     by = rows.withColumn("told", told).groupBy("day", "company_id").agg(F.countDistinct("story").alias("stories"), F.count_if(F.col("negative") >= 0.85).alias("risks"), F.count(F.lit(1)).alias("n"), F.count("told").alias("analysed"), F.count_if(F.col("told") == "negative").alias("negative"))
-    ratio = F.least(F.lit(1.0), F.col("risks") / F.col("stories"))
-    return by.groupBy("day").agg(F.round(F.avg(ratio), 6).alias("mean_ratio"), F.round(F.sum("risks") / F.sum("stories"), 6).alias("pooled_ratio"), F.sum("negative").alias("negative"), (F.sum("n") - F.sum("analysed")).alias("unclassified"))
+    ratio = F.when(F.col("stories") > 0, F.least(F.lit(1.0), F.col("risks") / F.col("stories")))
+    return by.groupBy("day").agg(F.round(F.avg(ratio), 6).alias("mean_ratio"), F.round(F.sum("risks") / F.nullif(F.sum("stories"), F.lit(0)), 6).alias("pooled_ratio"), F.sum("negative").alias("negative"), (F.sum("n") - F.sum("analysed")).alias("unclassified"))
 
 
 def score_shapes(spark, sf_dir):
@@ -262,7 +262,7 @@ ORACLE_SQL = {
     "company_day_signals": f"""WITH {ARTICLES_SQL}, r AS (SELECT *, CAST(seen_at AS DATE) AS day FROM articles), f AS (SELECT company_id, day, story, min(article_id) AS first FROM r GROUP BY ALL), x AS (SELECT company_id, day, array_to_string(list(CAST(story AS VARCHAR) ORDER BY first)[1:6], ',') AS stories FROM f GROUP BY ALL), b AS (SELECT company_id, day, count(*) AS n, round(avg((negative >= 0.85::DOUBLE)::INT) + avg((label = 'negative')::INT), 6) AS signal FROM r GROUP BY ALL HAVING count(*) >= 8)
       SELECT company_id, day, n, signal, stories, first_value(day) OVER (PARTITION BY company_id ORDER BY signal DESC, day DESC) AS peak_day FROM b JOIN x USING (company_id, day)""",
     "home_ratios": f"""WITH {ARTICLES_SQL}, b AS (SELECT CAST(seen_at AS DATE) AS day, company_id, count(DISTINCT story) AS stories, count(*) FILTER (WHERE negative >= 0.85::DOUBLE) AS risks, count(*) AS n, count(*) FILTER (WHERE article_id % 7 <> 3) AS analysed, count(*) FILTER (WHERE article_id % 7 <> 3 AND label = 'negative') AS negative FROM articles GROUP BY ALL)
-      SELECT day, round(avg(least(1.0, risks / stories)), 6) AS mean_ratio, round(sum(risks) / sum(stories), 6) AS pooled_ratio, CAST(sum(negative) AS BIGINT) AS negative, CAST(sum(n) - sum(analysed) AS BIGINT) AS unclassified FROM b GROUP BY day""",
+      SELECT day, round(avg(CASE WHEN stories > 0 THEN least(1.0, risks / stories) END), 6) AS mean_ratio, round(sum(risks) / nullif(sum(stories), 0), 6) AS pooled_ratio, CAST(sum(negative) AS BIGINT) AS negative, CAST(sum(n) - sum(analysed) AS BIGINT) AS unclassified FROM b GROUP BY day""",
     "score_shapes": f"""WITH {_WIN}, s AS (SELECT *, ln(1 + articles) AS la, mean_negative AS m, CASE WHEN mean_negative <= 0.25::DOUBLE THEN mean_negative * 1.2::DOUBLE WHEN mean_negative < 0.65::DOUBLE THEN mean_negative - 0.25::DOUBLE + 0.30::DOUBLE ELSE (mean_negative - 0.65::DOUBLE) * (0.30::DOUBLE / 0.35::DOUBLE) + 0.70::DOUBLE END AS c, exp(mean_negative * 2) AS en, exp(1.0::DOUBLE) AS eu, exp((1 - mean_negative) * 2) AS ep, least(1.0::DOUBLE, greatest(0.0::DOUBLE, max_negative * 0.7::DOUBLE + ln(1 + articles) * 0.1::DOUBLE)) AS l FROM win)
       SELECT company_id, window_start, round(la, 9) AS log_articles, round(c, 9) AS calibrated, round(en / (en + eu + ep), 9) AS p_negative, CASE WHEN en > eu AND en > ep THEN 'negative' WHEN ep > eu AND ep > en THEN 'positive' ELSE 'neutral' END AS label, round(l, 9) AS linear, round(l * 0.6::DOUBLE + c * 0.4::DOUBLE, 9) AS blended FROM s""",
     "drift_report": f"SELECT company_id, count(shift) AS told, count(*) FILTER (WHERE drifts) AS drifting, arg_max(feature, {{'s': coalesce(shift, -1.0), 'f': feature}}) AS farthest FROM ({SERIES_SQL['drift_shift']}) GROUP BY company_id",

@@ -130,7 +130,7 @@ def same_event(spark, sf_dir):
     each = rows.select("item_id", F.explode("w").alias("word"))
     met = each.toDF("a", "word").join(each.toDF("b", "word"), "word").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both")).where("both >= 3")
     full = met.join(rows.toDF("a", "wa"), "a").join(rows.toDF("b", "wb"), "b")
-    overlap = F.col("both") / F.least(F.size("wa"), F.size("wb"))
+    overlap = F.col("both") / F.nullif(F.least(F.size("wa"), F.size("wb")), F.lit(0))  # ids may repeat
     return full.where(overlap >= 0.2).select("a", "b", F.round(overlap, 6).alias("overlap"))
 
 

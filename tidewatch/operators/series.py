@@ -108,7 +108,7 @@ def with_robust_shift(df, recent: str, baseline: str, name: str = "shift"):
     """df with the shift of the median of one array against another in robust deviations:
     null with fewer than 8 and 40 values; without spread the raw quartiles, then 1,
     measure it. Step by step, so that no step repeats another."""
-    n, at = F.size(baseline), lambda q: F.element_at("__sorted", (F.floor((F.size(baseline) - 1) * F.lit(q)) + 1).cast("int"))
+    n, at = F.size(baseline), lambda q: F.try_element_at("__sorted", F.greatest(F.floor((F.size(baseline) - 1) * F.lit(q)) + 1, F.lit(1)).cast("int"))
     steps = df.withColumns({"__now": median_of(F.col(recent)), "__base": median_of(F.col(baseline)), "__sorted": F.array_sort(baseline)})
     steps = steps.withColumn("__mad", median_of(F.transform(baseline, lambda x: F.abs(x - F.col("__base")))) * 1.4826)
     steps = steps.withColumn("__iqr", at(0.75) - at(0.25))
