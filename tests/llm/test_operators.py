@@ -283,3 +283,61 @@ def test_columns_named_like_ours(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, tid int, label int, own string, row int, first_tid int")
     got = near_duplicates.without_near_duplicates(df)
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+
+
+def test_archive_round_trip(spark, tmp_path):
+    """Nulls, repeats, long payloads over several frames and bundles; reading by offset."""
+    from tidewatch.llm import warc
+
+    long = "x\u00e9" * 40_000
+    rows = [(1, "http://h/1", "same"), (2, None, "same"), (2, "http://h/2", "same"), (3, "http://h/3", None), (None, "http://h/4", "same"), (5, "http://h/5", long), (6, "http://h/6", ""), (7, "http://h/7", long + "!")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    index = warc.write_archive(df, f"file://{tmp_path}/bundles", frame_bytes=1 << 14, bundle_bytes=1 << 10)
+    read = warc.read_archive(index)
+    got = sorted(((r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"], bytes(r["payload"]).decode() if r["payload"] is not None else None) for r in read.collect()), key=repr)
+    size = len(long.encode())
+    want = [(0, "revisit", 2, 4, None), (1, "revisit", 2, 4, None), (2, "response", None, 4, "same"), (2, "response", None, 4, "same"), (3, "revisit", 6, 0, None), (5, "response", None, size, long), (6, "response", None, 0, ""), (7, "response", None, size + 1, long + "!")]
+    assert [g[:4] for g in got] == [w[:4] for w in sorted(want, key=repr)]
+    assert {g[4] for g in got if g[1] == "response"} == {"same", "", long, long + "!"}
+    assert index.select("bundle").distinct().count() > 1 and read.rdd.getNumPartitions() > 1
+    wanted = index.where("page_id IN (5, 6)").select("record_id").union(spark.createDataFrame([("none",), (None,)], "record_id string"))
+    assert sorted(r["payload_bytes"] for r in warc.fetch(index, wanted).collect()) == [0, size]
+    path = index.first()["bundle"].removeprefix("file://")
+    with open(path, "rb") as f:
+        frames = warc.seek_table(f, len(f.read()))
+    assert frames[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(frames, frames[1:]))
+    assert warc.read_archive(warc.write_archive(df.limit(0), f"file://{tmp_path}/none")).collect() == []
+
+
+def test_surrogates_of_one_person(spark):
+    """Names found once go wherever they stand; accounts stay valid; a domain stays one."""
+    texts = [
+        "MRS ANNA SMITH met Mr. Tom Brown. Later Anna Smith called Brown, and SMITH agreed; annas smithy stays.", "Dr. Anna Smith and Mrs Anna Jones: Anna.", "pay DE89 3704 0044 0532 0130 00 now", "a.b@firm.org and c.d@firm.org, e@other.org", "Smith and Anna are free words here",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in surrogates.replace_entities(df).collect()}
+    first = rows[0]["text"]
+    assert not any(w in first for w in ("ANNA", "SMITH", "Anna", "Smith", "Brown")) and "annas smithy stays" in first and rows[0]["n_entities"] == 6
+    words = first.replace(".", " ").replace(",", " ").replace(";", " ").split()
+    assert words[1] == words[words.index("Later") + 1].upper() and words[2] == words[words.index("Later") + 2].upper() == words[words.index("agreed") - 1]
+    second = rows[1]["text"].replace(":", "").replace(".", "").split()
+    assert second[1] == second[5] == second[7] and second[1].upper() == words[1]
+    account = rows[2]["text"].replace("pay ", "").replace(" now", "").replace(" ", "")
+    assert account[:2] == "DE" and int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1 and account != "DE89370400440532013000"
+    hosts = [w.split("@")[1].rstrip(",") for w in rows[3]["text"].split() if "@" in w]
+    assert hosts[0] == hosts[1] != hosts[2]
+    assert rows[4]["text"] == texts[4] and rows[4]["n_entities"] == 0
+
+
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    """Nulls, empty texts and columns named like ours: no stage fails, and on an empty
+    table each gives an empty one."""
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long, tid int, label int, score double"
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, "en", "a", 100, 1, 1, 0.5), (2, words, None, None, None, None, None, None), (3, None, "en", "a", 0, 1, 1, 0.5), (4, "", "en", "b", 0, 1, 1, 0.5), (None, words + " x", "en", "b", 5, 1, 1, 0.5)]
+    for given in (rows, []):
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, spark.createDataFrame(given, columns), SF)
+            assert len(out.collect()) <= 3 * len(given)

@@ -81,14 +81,17 @@ def copies_of(docs: DataFrame, text_col: str = "text", source_col: str = "source
     """The mix itself: each row of docs, all columns, as many times as `mix` takes it.
 
     Copies are decided on light rows (id, source, hash of the text) and joined back by
-    these; equal rows, which the join cannot tell apart, share their copies."""
+    these; rows that are equal in them share their copies, in order of a hash of all
+    their columns. Null texts and such without words are not taken; null sources are one
+    source. An empty table gives an empty one. No column may be named like those used
+    here, which begin with two underscores."""
     marked = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
     taken = mix(marked, text_col=text_col, source_col=source_col, keep=(id_col, "__hash"))
     taken = taken.groupBy(F.col(id_col).alias("__id"), F.col("source").alias("__source"), "__hash").agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
     taken = taken.where("__sum > 0").withColumnRenamed("__hash", "__of")
     met = (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col(source_col).eqNullSafe(F.col("__source"))) & (F.col("__hash") == F.col("__of"))
     joined = marked.join(taken, met)
-    at = F.row_number().over(Window.partitionBy(id_col, source_col, "__hash").orderBy(F.lit(0)))
+    at = F.row_number().over(Window.partitionBy(id_col, source_col, "__hash").orderBy(F.xxhash64(*docs.columns)))
     joined = joined.withColumn("__at", F.when(F.col("__rows") > 1, at - 1).otherwise(0))
     own = F.floor(F.col("__sum") / F.col("__rows")) + (F.col("__at") < F.col("__sum") % F.col("__rows")).cast("int")
     return joined.withColumn("__own", own.cast("int")).where("__own > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own")))).select(*docs.columns)
