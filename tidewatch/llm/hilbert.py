@@ -22,8 +22,8 @@ from tidewatch.llm.vectors import matrix, usable
 #: Without structure in the vectors, recall depends on the share that is compared, so
 #: the window is a share: recall is then alike at every size. A query is compared with
 #: 2 * CURVES * WINDOW_SHARE = 0.96 of the vectors, 0.6 of them different ones.
-CURVES = 16
-WINDOW_SHARE = 0.03
+CURVES = 24
+WINDOW_SHARE = 0.02
 WINDOW_LEAST = 16
 DIRECTIONS = 8
 BITS = 6
