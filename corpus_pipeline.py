@@ -1,4 +1,11 @@
-"""The corpus pipeline: its stages, each a function of (spark, docs, sf_dir)."""
+"""The corpus pipeline: its stages, each a function of (spark, docs, sf_dir).
+
+Every stage takes any documents with the columns of COLUMNS, others too, and returns
+those of COLUMNS (the last: its own). Null and empty texts go through as empty ones:
+the classifier scores them, near-duplicate detection and surrogates leave them alone,
+the mix never takes them. Null ids, languages and sources are values like others. An
+empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +19,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier, learnt from the labels, rejects."""
+    """Drop the documents that the classifier, learnt from the labels, rejects. Repeated
+    rows stay or go together; without labels all stay."""
     net = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.classify(docs, net).where("predicted = 1").select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near-duplicates."""
+    """Keep one document of each class of near-duplicates, that of least id; documents
+    without a word all stay."""
     return near_duplicates.without_near_duplicates(docs).select(*COLUMNS)
 
 
@@ -30,7 +39,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as many times as the mix of its source wants."""
+    """Take each document as many times as the mix of its source wants, at most three."""
     copies = mixing.copies_of(docs)
     return copies.select(*COLUMNS)
 
