@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, hilbert, kd_tree, mixing, near_duplicates, page_text, quality, surrogates, token_counts, warc
+from tidewatch.llm import bpe, hilbert, kd_tree, languages, mixing, near_duplicates, page_text, quality, surrogates, token_counts, warc
 
 QUERIES = {
     "op1_warc_seekable": warc.op1_warc_seekable,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_surrogates": surrogates.op8_surrogates,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_page_text": page_text.op10_page_text,
+    "op11_language_id": languages.op11_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
