@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Bounds of one Arrow batch of texts; a batch ends where the first of them is met.
 TEXT_ROWS_PER_BATCH, TEXT_BYTES_PER_BATCH = 256, 16 << 20
@@ -108,6 +109,26 @@ def schema_with(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def in_batches(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """`df.mapInArrow(run, schema)` for columns of any names, dots and repeats included:
+    they travel by position."""
+    names = [f"c{i}" for i in range(len(schema.fields))]
+
+    def renamed(batches):
+        import pyarrow as pa
+
+        for out in run(batches):
+            yield pa.RecordBatch.from_arrays(out.columns, names=names)
+
+    travelling = StructType([StructField(n, f.dataType, True) for n, f in zip(names, schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, travelling).toDF(*schema.names)
+
+
 def with_positions(df: DataFrame, order: list[str], name: str, group: str | None = None, partitions: int | None = None) -> DataFrame:
     """Number the rows from 0 in the given order, within each value of `group`
     (the first ordering column) if given, as column `position`.

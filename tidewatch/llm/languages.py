@@ -15,7 +15,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import kept, release, schema_with, settle, text_batches
+from tidewatch.llm.common import in_batches, kept, quoted, release, schema_with, settle, text_batches
 
 #: Characters of the longest n-gram; all shorter ones count too.
 LONGEST = 4
@@ -166,11 +166,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     import numpy as np
 
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     found = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
     words = max(1, -(-len(found) // 64))
-    model = {"langs": [x for x, _ in found], "rows": np.array([n for _, n in found], np.int64), "filters": np.zeros((1 << SLOT_BITS, words), np.uint64), "reach": np.ones(len(found))}
+    model = {"langs": [x for x, _ in found], "rows": np.array([n for _, n in found], np.int64), "filters": np.zeros((words, 1 << SLOT_BITS), np.uint64), "reach": np.ones(len(found))}
     if found:
         shares = [(lang, i, min(1 << 30, sample_rows * (1 << 30) // n)) for i, (lang, n) in enumerate(found)]
         shares = spark.createDataFrame(shares, "lang string, lang_id int, below long")  # a row for each language
@@ -232,7 +232,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: list[st
     texts and those without a letter are `und` with score 0; repeated rows give repeated
     results; an empty table gives an empty one. Columns may have any names."""
     keep = kept(docs, keep, [], ["lang_pred", "score"])
-    columns = [F.col(f"`{c.replace('`', '``')}`") for c in keep]
+    columns = [quoted(c) for c in keep]
     text_batches(docs.sparkSession)
     schema = schema_with(docs.select(*columns), "lang_pred string, score double")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB for each 64 languages
@@ -244,7 +244,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", keep: list[st
             found = decide(shared.value, batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=schema.names)
 
-    return docs.select(*columns, F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
+    return in_batches(docs.select(*columns, quoted(text_col)), run, schema)
 
 
 def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
