@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, hilbert, kd_tree, languages, mixing, near_duplicates, page_text, quality, surrogates, token_counts, warc
+from tidewatch.llm import bpe, collocations, hilbert, kd_tree, languages, mixing, near_duplicates, page_text, quality, surrogates, token_counts, warc
 
 QUERIES = {
     "op1_warc_seekable": warc.op1_warc_seekable,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_page_text": page_text.op10_page_text,
     "op11_language_id": languages.op11_language_id,
+    "op12_collocations": collocations.op12_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_seekable": warc.OP1_SQL,
     "op2_source_mixing": mixing.OP2_SQL,
     "op5_exact_top_k": kd_tree.OP5_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
