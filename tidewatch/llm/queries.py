@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, collocations, hilbert, kd_tree, languages, mixing, near_duplicates, page_text, quality, surrogates, token_counts, warc
+from tidewatch.llm import bpe, collocations, hilbert, kd_tree, languages, merkle, mixing, near_duplicates, page_text, quality, surrogates, token_counts, warc
 
 QUERIES = {
     "op1_warc_seekable": warc.op1_warc_seekable,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_page_text": page_text.op10_page_text,
     "op11_language_id": languages.op11_language_id,
     "op12_collocations": collocations.op12_collocations,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": mixing.OP2_SQL,
     "op5_exact_top_k": kd_tree.OP5_SQL,
     "op12_collocations": collocations.OP12_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
