@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.operators import calendars, checks, evaluation, filtering, intervals, lifecycle, listing, relations, response, rollups, series, spectra, stories, texts
+from tidewatch.operators import calendars, checks, evaluation, filtering, intervals, lifecycle, listing, machines, relations, response, rollups, series, spectra, stories, texts
 from tidewatch.streaming import assignment
 
-MODULES = (rollups, relations, series, texts, lifecycle, filtering, calendars, listing, intervals, checks, evaluation, stories, response, spectra, assignment)
+MODULES = (rollups, relations, series, texts, lifecycle, filtering, calendars, listing, intervals, checks, evaluation, stories, response, spectra, machines, assignment)
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
