@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
+from tidewatch.functions.components import components, linked_by
 from tidewatch.operators.filtering import COMMENTS, ITEMS_SQL, first_near, items, seconds
 from tidewatch.sources.scratch import cut
 from tidewatch.sources.tables import ARTICLES_SQL, articles, table
@@ -22,6 +23,8 @@ CONCEPTS = [("action:recall", ["thor", "attion"], 1.4), ("action:strike", ["erin
 #: Hours apart at most for a match by recent signs, and for a follow-up.
 RECENT, FOLLOW_UP = 168, 720
 BODY = 900
+#: What a title keeps nothing of when titles are compared as evidence.
+NO_LETTER = "[^\\p{L}\\p{N}_]"
 
 
 def story_text(text: Column) -> Column:
@@ -115,17 +118,10 @@ def story_pairs(spark, sf_dir):
 
 
 def story_clusters(spark, sf_dir):
-    """Each item's story: the smallest id that matches reach, step by step over written
-    links, so that every item of a component has one story."""
-    links = cut(story_pairs(spark, sf_dir).select("a", "b"))
-    both = links.union(links.select("b", "a"))
-    labels = items(spark, sf_dir).select("raw_id", F.col("raw_id").alias("story"))
-    while True:
-        near = both.join(labels.withColumnRenamed("raw_id", "b"), "b").groupBy(F.col("a").alias("raw_id")).agg(F.min("story").alias("near"))
-        new = cut(labels.join(near, "raw_id", "left").select("raw_id", F.least("story", "near").alias("story"), (F.col("near") < F.col("story")).alias("moved")))
-        labels = new.select("raw_id", "story")
-        if new.where("moved").isEmpty():
-            return labels
+    """Each item's story: the smallest id that matches reach, so that every item of a
+    component has one story."""
+    roots = components(story_pairs(spark, sf_dir).select("a", "b")).withColumnRenamed("node", "raw_id")
+    return items(spark, sf_dir).select("raw_id").join(roots, "raw_id", "left").select("raw_id", F.coalesce("root", "raw_id").alias("story"))
 
 
 def representatives(spark, sf_dir):
@@ -187,18 +183,48 @@ def masked_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(out).alias("digest"), F.contains(out, F.lit("대상기업")).alias("masked"))
 
 
+def evidence(spark, sf_dir) -> DataFrame:
+    """(raw_id, split, kind, token): what tells that two items are about one event: an address,
+    or a title of letters and digits alone; empty titles tell nothing. Half of the items are to
+    train (split by id), a tenth each to validate and to test; the rest only links others."""
+    rows = items(spark, sf_dir)
+    title = F.regexp_replace(F.lower("title"), NO_LETTER, "")
+    split = F.when(F.col("raw_id") % 10 == 0, "test").when(F.col("raw_id") % 10 == 1, "validation").when(F.col("raw_id") % 10 < 7, "train").otherwise("unused")
+    told = F.explode(F.array(F.struct(F.lit("title").alias("kind"), F.when(title != "", title).alias("token")), F.struct(F.lit("url").alias("kind"), T.normalized_url(F.col("url")).alias("token"))))
+    return rows.select("raw_id", split.alias("split"), told.alias("x")).select("raw_id", "split", "x.kind", F.concat_ws("|", "x.kind", "x.token").alias("token"), F.col("x.token").isNotNull().alias("told")).where("told").drop("told")
+
+
 def exposed_items(spark, sf_dir):
-    """Test items (id % 10 = 0) that share a title, an address or the rarest token of a
-    title with a training item: those a comparison of models must leave out."""
-    rows = prepared(items(spark, sf_dir)).select("raw_id", F.col("t").alias("title"), T.normalized_url(F.col("url")).alias("url"), (F.col("raw_id") % 10 == 0).alias("test"), F.array_join(F.array_sort("tt"), " ").alias("tokens"))
-    keys = F.explode(F.array(F.concat(F.lit("t|"), "title"), F.concat(F.lit("u|"), "url"), F.concat(F.lit("k|"), "tokens")))
-    each = rows.select("raw_id", "test", keys.alias("key"))
-    shared = each.where(~F.col("test")).select("key").distinct()
-    exposed = each.where("test").join(shared, "key", "left_semi").select("raw_id").distinct().withColumn("exposed", F.lit(True))
-    return rows.where("test").join(exposed, "raw_id", "left").select("raw_id", F.coalesce("exposed", F.lit(False)).alias("exposed"))
+    """Test items that share evidence with items to train or validate, straight or over any
+    other items in between: those a comparison of models must leave out. Also which kinds of
+    evidence they share straight."""
+    each = evidence(spark, sf_dir)
+    nodes = each.select("raw_id", "split").distinct()
+    roots = components(linked_by(each, "raw_id", "token")).withColumnRenamed("node", "raw_id")
+    placed = nodes.join(roots, "raw_id", "left").withColumn("root", F.coalesce("root", "raw_id"))
+    is_a = lambda split: F.bool_or(F.col("split") == split)
+    seeds = placed.groupBy("root").agg(is_a("train").alias("by_train"), is_a("validation").alias("by_validation"))
+    direct = each.groupBy("token").agg(F.bool_or(F.col("split").isin("train", "validation")).alias("seeded")).where("seeded")
+    kinds = each.where("split = 'test'").join(direct, "token", "left_semi").groupBy("raw_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("direct"))
+    found = placed.where("split = 'test'").join(seeds, "root").join(kinds, "raw_id", "left")
+    return found.select("raw_id", "by_train", "by_validation", F.coalesce("direct", F.lit("")).alias("direct"), (F.col("by_train") | F.col("by_validation")).alias("exposed"))
+
+
+def compared_models(spark, sf_dir):
+    """Two models on the labelled test items that neither has seen evidence of: for each the
+    counts of right and wrong answers. Long titles and many tokens stand for the models'
+    answers; how many items were left out, and why, is told beside them."""
+    tested = exposed_items(spark, sf_dir).join(table(spark, sf_dir, "labels").where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("raw_id")).agg(F.max("quality").alias("quality")), "raw_id")
+    answers = prepared(items(spark, sf_dir)).select("raw_id", F.explode(F.array(F.struct(F.lit("baseline").alias("model"), (F.char_length("t") > 20).alias("yes")), F.struct(F.lit("candidate").alias("model"), (F.size("tt") >= 3).alias("yes")))).alias("x"))
+    rows = tested.join(answers, "raw_id").select("*", "x.*")
+    kept, good = ~F.col("exposed"), F.col("quality") == 1
+    return rows.groupBy("model").agg(
+        F.count_if(kept & good & F.col("yes")).alias("tp"), F.count_if(kept & ~good & F.col("yes")).alias("fp"), F.count_if(kept & good & ~F.col("yes")).alias("fn"), F.count_if(kept & ~good & ~F.col("yes")).alias("tn"),
+        F.count_if("exposed").alias("left_out"), F.count_if(F.col("exposed") & (F.col("direct") == "")).alias("left_out_over_others"),
+    )
 
 
-QUERIES = {f.__name__: f for f in (story_pairs, story_clusters, representatives, story_fingerprints, title_repair, story_features, masked_names, exposed_items)}
+QUERIES = {f.__name__: f for f in (story_pairs, story_clusters, representatives, story_fingerprints, title_repair, story_features, masked_names, exposed_items, compared_models)}
 
 _T = f"p AS (SELECT *, {story_text_sql('title')} AS t, substr({story_text_sql('summary')}, 1, {BODY}) AS body FROM items), q AS (SELECT *, {story_tokens_sql('t')} AS tt, array_to_string(regexp_extract_all(t, '{T.STORY_TOKEN}'), '') AS tc FROM p)"
 _CONCEPTS_SQL = " + ".join("(" + " OR ".join(f"contains(concat_ws(' ', t, body), '{w}')" for w in words) + ")::INT" for _, words, _ in CONCEPTS)
@@ -207,6 +233,12 @@ _MASKS = [n.lower() for n in sorted(["Thor", "thorough", "an", "Stand"], key=lam
 _MASKED = "lower(coalesce(text, ''))"
 for _name in _MASKS:
     _MASKED = f"replace({_MASKED}, '{_name}', ' 대상기업 ')"
+_EXPOSED_SQL = f"""{ITEMS_SQL}, told AS (SELECT raw_id, CASE WHEN raw_id % 10 = 0 THEN 'test' WHEN raw_id % 10 = 1 THEN 'validation' WHEN raw_id % 10 < 7 THEN 'train' ELSE 'unused' END AS split, unnest(['title', 'url']) AS kind, unnest([nullif(regexp_replace(lower(title), '{NO_LETTER}', '', 'g'), ''), {T.normalized_url_sql('url')}]) AS value FROM items),
+  each_token AS (SELECT raw_id, split, kind, kind || '|' || value AS token FROM told WHERE value IS NOT NULL), near AS (SELECT DISTINCT a.raw_id AS a, b.raw_id AS b FROM each_token a JOIN each_token b USING (token)),
+  reach AS (SELECT raw_id, raw_id AS spot FROM each_token WHERE split = 'test' UNION SELECT raw_id, b FROM reach JOIN near ON spot = a), splits AS (SELECT DISTINCT raw_id, split FROM each_token),
+  by_split AS (SELECT r.raw_id, bool_or(split = 'train') AS by_train, bool_or(split = 'validation') AS by_validation FROM reach r JOIN splits s ON s.raw_id = r.spot GROUP BY 1),
+  kinds AS (SELECT a.raw_id, array_to_string(list_sort(list(DISTINCT a.kind)), ',') AS direct FROM each_token a WHERE split = 'test' AND EXISTS (SELECT 1 FROM each_token o WHERE o.token = a.token AND o.split IN ('train', 'validation')) GROUP BY 1),
+  exposed_test AS (SELECT raw_id, by_train, by_validation, coalesce(direct, '') AS direct, by_train OR by_validation AS exposed FROM by_split LEFT JOIN kinds USING (raw_id))"""
 ORACLE_SQL = {
     "representatives": f"""WITH {ITEMS_SQL}, {_T}, c AS (SELECT raw_id, company_id, lang, CAST({_CONCEPTS_SQL} AS BIGINT) AS concepts, summary <> '' AS has, least(length(t), 100) AS len FROM q) SELECT company_id, lang, raw_id, concepts, count(*) OVER (PARTITION BY company_id, lang) AS items FROM c QUALIFY row_number() OVER (PARTITION BY company_id, lang ORDER BY concepts DESC, has DESC, len DESC, raw_id) = 1""",
     "story_fingerprints": f"""WITH {ITEMS_SQL}, {_T} SELECT raw_id, sha256('story-cluster-v2|' || array_to_string(list_sort(tt), ' ') || '|' || strftime(coalesce(published_at, collected_at), '%Y-%m-%d')) AS fingerprint, CAST(len(tt) AS BIGINT) AS n_tokens, CAST(len({T.trigrams_sql('tc')}) AS BIGINT) AS n_trigrams FROM q""",
@@ -216,5 +248,8 @@ ORACLE_SQL = {
       SELECT company_id, story, round(ln(1 + count(*)), 6) AS log_articles, round(ln(1 + count(DISTINCT source)), 6) AS log_publishers, round(1 - count(DISTINCT label) / count(*), 6) AS repeated_titles, round((max(sec) - min(sec)) / 3600, 6) AS span_hours, round(avg((fin - sec <= 21600)::INT), 6) AS recent, round(coalesce(avg(known), 0), 6) AS negative_mean, round(coalesce(max(known), 0), 6) AS negative_max,
       round(coalesce(stddev_pop(known), 0), 6) AS negative_std, round(1 - count(known) / count(*), 6) AS missing, round(avg((source = 'purchase')::INT), 6) AS official FROM k GROUP BY ALL""",
     "masked_names": f"SELECT doc_id, md5({_MASKED}) AS digest, contains({_MASKED}, '대상기업') AS masked FROM documents",
-    "exposed_items": f"""WITH {ITEMS_SQL}, {_T}, k AS (SELECT raw_id, unnest(['t|' || t, 'u|' || {T.normalized_url_sql('url')}, 'k|' || array_to_string(list_sort(tt), ' ')]) AS key FROM q) SELECT raw_id, bool_or(EXISTS (SELECT 1 FROM k o WHERE o.key = k.key AND o.raw_id % 10 <> 0)) AS exposed FROM k WHERE raw_id % 10 = 0 GROUP BY raw_id""",
+    "exposed_items": f"""WITH RECURSIVE {_EXPOSED_SQL} SELECT * FROM exposed_test""",
+    "compared_models": f"""WITH RECURSIVE {_EXPOSED_SQL}, {_T}, y AS (SELECT doc_id AS raw_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1), m AS (SELECT raw_id, unnest(['baseline', 'candidate']) AS model, unnest([length(t) > 20, len(tt) >= 3]) AS yes FROM q), r AS (SELECT * FROM exposed_test JOIN y USING (raw_id) JOIN m USING (raw_id))
+      SELECT model, count(*) FILTER (WHERE NOT exposed AND quality = 1 AND yes) AS tp, count(*) FILTER (WHERE NOT exposed AND quality <> 1 AND yes) AS fp, count(*) FILTER (WHERE NOT exposed AND quality = 1 AND NOT yes) AS fn, count(*) FILTER (WHERE NOT exposed AND quality <> 1 AND NOT yes) AS tn,
+      count(*) FILTER (WHERE exposed) AS left_out, count(*) FILTER (WHERE exposed AND direct = '') AS left_out_over_others FROM r GROUP BY model""",
 }
