@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
+from tidewatch.functions.terms import LATIN, prepared_terms, texts_holding
 from tidewatch.operators.filtering import ITEMS_SQL, items
 from tidewatch.operators.series import ORACLE_SQL as SERIES_SQL
 from tidewatch.operators.series import feature_windows, hysteresis_events
 from tidewatch.sources.tables import ARTICLES_SQL, articles, table
 
 #: Terms looked for in texts, one row each: a table that grows with the companies.
-TERMS = ["thor", "erin", "eaun", "stand", "anea", "onan", "erble", "attion", "queau", "password"]
+TERMS = ["thor", "erin", "eaun", "stand", "anea", "onan", "erble", "attion", "queau", "password", "of the", "de la", "in the and", "licensed under"]
 #: Hours within which articles may tell one story.
 HORIZON_HOURS = 6
 
@@ -65,12 +66,25 @@ def story_candidates(spark, sf_dir):
     return near.select("company_id", "a", "b", F.round(F.abs(F.col("at") - F.col("at_b")) / 3600, 6).alias("gap_hours"))
 
 
+def _norms(spark, sf_dir) -> DataFrame:
+    return items(spark, sf_dir).select(F.col("raw_id").alias("id"), "source", "title", T.normalized(F.concat_ws(" ", "title", "summary")).alias("norm"))
+
+
 def texts_with_terms(spark, sf_dir):
-    """Items that hold a term between other than letters and digits. Terms meet the
-    different tokens of a text, an equal join whatever the number of terms."""
-    terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
-    words = items(spark, sf_dir).select("raw_id", "source", F.explode(F.array_distinct(F.regexp_extract_all(T.normalized(F.concat_ws(" ", "title", "summary")), F.lit("[a-z0-9]+"), F.lit(0)))).alias("term"))
-    return words.join(F.broadcast(terms), "term").groupBy("term", "source").agg(F.count(F.lit(1)).alias("items"))  # a fixed list
+    """Items that hold a term, of one word or more, between other than letters and digits."""
+    rows = _norms(spark, sf_dir)
+    found = texts_holding(rows, prepared_terms(spark.createDataFrame([(t,) for t in TERMS], "term string")))
+    return found.join(rows.select("id", "source"), "id").groupBy("term", "source").agg(F.count(F.lit(1)).alias("items"))
+
+
+def titles_told_elsewhere(spark, sf_dir):
+    """Titles of up to 60 characters that other items' texts hold: how many items, and the first."""
+    rows = _norms(spark, sf_dir)
+    titles = rows.where("char_length(title) <= 60").select("id", T.normalized(F.col("title")).alias("term"))
+    found = texts_holding(rows, prepared_terms(titles)).withColumnRenamed("id", "told_in")
+    owners = titles.groupBy("term").agg(F.count(F.lit(1)).alias("owners"), F.min("id").alias("owner"))
+    told = found.join(titles.withColumnRenamed("id", "told_in"), ["term", "told_in"], "left_anti")
+    return told.join(owners, "term").groupBy("term", "owner", "owners").agg(F.count(F.lit(1)).alias("items"), F.min("told_in").alias("first"))
 
 
 def json_elements(spark, sf_dir):
@@ -120,17 +134,20 @@ def window_attribution(spark, sf_dir):
     return rows.withColumns({"history": history, "base": base}).select("company_id", "window_start", F.round("value", 6).alias("value"), F.round(F.when(F.size("history") > 0, below / F.size("history")), 6).alias("percentile"), F.round("base", 9).alias("baseline"))
 
 
-QUERIES = {f.__name__: f for f in (windows_of_events, windows_outside_events, window_at_evidence, story_candidates, texts_with_terms, json_elements, foreign_references, articles_in_windows, risk_articles, window_attribution)}
+QUERIES = {f.__name__: f for f in (windows_of_events, windows_outside_events, window_at_evidence, story_candidates, texts_with_terms, titles_told_elsewhere, json_elements, foreign_references, articles_in_windows, risk_articles, window_attribution)}
 
 _WIN = lambda width: f"{ARTICLES_SQL}, win AS (SELECT company_id, time_bucket(INTERVAL '{width}', seen_at, TIMESTAMP '1970-01-01') AS window_start, count(*) AS articles, avg(negative) AS mean_negative FROM articles GROUP BY ALL)"
 _SPANS = f"spans AS (SELECT company_id, event, opened_at, last_seen_at FROM ({SERIES_SQL['hysteresis_events']}) WHERE windows >= 3)"
+_NORMS_SQL = ITEMS_SQL + ", n AS (SELECT raw_id, source, title, " + T.normalized_sql("concat_ws(' ', title, summary)") + " AS norm FROM items)"
 ORACLE_SQL = {
     "windows_of_events": f"WITH {_WIN('15 minutes')}, {_SPANS} SELECT w.company_id, event, window_start, articles FROM win w JOIN spans s ON w.company_id = s.company_id AND w.window_start BETWEEN s.opened_at AND s.last_seen_at",
     "windows_outside_events": f"WITH {_WIN('6 hours')}, {_SPANS} SELECT company_id, window_start, articles FROM win w WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE w.company_id = s.company_id AND w.window_start BETWEEN s.opened_at AND s.last_seen_at)",
     "window_at_evidence": f"WITH {_WIN('15 minutes')} SELECT article_id, w.window_start, w.articles FROM articles a ASOF LEFT JOIN win w ON a.company_id = w.company_id AND a.seen_at >= w.window_start WHERE negative >= 0.95::DOUBLE",
     "story_candidates": f"""WITH {ARTICLES_SQL}, r AS (SELECT article_id, company_id, floor(epoch(seen_at)) AS sec FROM articles WHERE source = 'error')
       SELECT x.company_id, x.article_id AS a, y.article_id AS b, round(abs(x.sec - y.sec) / 3600, 6) AS gap_hours FROM r x JOIN r y ON x.company_id = y.company_id AND x.article_id < y.article_id AND abs(x.sec - y.sec) <= {HORIZON_HOURS * 3600}""",
-    "texts_with_terms": f"WITH {ITEMS_SQL}, n AS (SELECT raw_id, source, {T.normalized_sql(chr(39) + chr(39) + ' || concat_ws(' + chr(39) + ' ' + chr(39) + ', title, summary)')} AS norm FROM items), t AS (SELECT unnest({TERMS!r}) AS term) SELECT term, source, count(*) AS items FROM n JOIN t ON regexp_matches(norm, '(?:^|[^a-z0-9])' || term || '(?:$|[^a-z0-9])') GROUP BY ALL",
+    "texts_with_terms": f"WITH {_NORMS_SQL}, t AS (SELECT unnest({TERMS!r}) AS term) SELECT term, source, count(*) AS items FROM n JOIN t ON regexp_matches(norm, '(?:^|[^a-z0-9])' || term || '(?:$|[^a-z0-9])') GROUP BY ALL",
+    "titles_told_elsewhere": f"""WITH {_NORMS_SQL}, o AS (SELECT raw_id, {T.normalized_sql('title')} AS term FROM n WHERE length(title) <= 60), t AS (SELECT term, count(*) AS owners, min(raw_id) AS owner, regexp_replace(term, '([.+])', '\\\\\\1', 'g') AS pattern, regexp_matches(term, '{LATIN}') AS latin FROM o WHERE length(term) >= 2 GROUP BY term)
+      SELECT t.term, owner, owners, count(*) AS items, min(raw_id) AS first FROM t JOIN n ON contains(norm, t.term) AND (NOT latin OR regexp_matches(norm, '(?:^|[^a-z0-9])' || pattern || '(?:$|[^a-z0-9])')) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.raw_id = n.raw_id AND o.term = t.term) GROUP BY ALL""",
     "json_elements": """WITH e AS (SELECT o_orderkey, unnest([o_custkey, o_custkey + 1]) AS c_custkey FROM orders WHERE o_orderkey % 5 > 1) SELECT c_mktsegment, count(*) AS links, count(DISTINCT o_orderkey) AS orders FROM e JOIN customer USING (c_custkey) GROUP BY 1""",
     "foreign_references": """SELECT c_nationkey, s_nationkey, count(*) AS lines, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY ALL""",
     "articles_in_windows": f"""WITH {_WIN('15 minutes')} SELECT a.company_id, CAST(seen_at AS DATE) AS day, count(DISTINCT article_id) FILTER (WHERE articles >= 2) AS articles, count(DISTINCT article_id) FILTER (WHERE articles >= 2 AND label = 'negative') AS negative_articles

@@ -223,6 +223,6 @@ def char_tfidf_svd(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (char_tfidf_terms, char_tfidf_svd)}
 ORACLE_SQL = {
     "char_tfidf_terms": f"""WITH {ITEMS_SQL}, t AS (SELECT raw_id, {T.normalized_sql("concat_ws(' ', title, summary)")} AS text FROM items), k AS (SELECT unnest(range({SHORTEST}, {LONGEST + 1})) AS k),
-      g AS (SELECT raw_id, unnest(list_transform(range(1, length(text) - k + 2), lambda i: text[i:i + k - 1])) AS term FROM t, k WHERE length(text) >= k), f AS (SELECT term, count(DISTINCT raw_id) AS texts, count(*) AS n FROM g GROUP BY term HAVING count(DISTINCT raw_id) >= {LEAST_TEXTS} ORDER BY n DESC, term LIMIT {MOST_TERMS})
+      g AS (SELECT raw_id, unnest(list_transform(range(1, length(text) - k + 2), lambda i: text[i:i + k - 1])) AS term FROM t, k WHERE length(text) >= k), h AS (SELECT raw_id, term, count(*) AS own FROM g GROUP BY ALL), f AS (SELECT term, count(*) AS texts, CAST(sum(own) AS BIGINT) AS n FROM h GROUP BY term HAVING count(*) >= {LEAST_TEXTS} ORDER BY n DESC, term LIMIT {MOST_TERMS})
       SELECT term, texts, n, round({idf('texts', '(SELECT count(*) FROM t)')}, 9) AS idf FROM f""",
 }
