@@ -20,6 +20,8 @@ CHUNK, STEP = 512, 448
 EMBED, WIDTH, HOP, FILTERS, HIDDEN = 8, 8, 2, 32, 16
 #: Labelled rows of each class that the network learns from, with all their chunks, and the bytes of these chunks: the bound of what the driver collects.
 SAMPLE_ROWS, SAMPLE_BYTES = 900, 12_000_000
+#: Longer texts, in bytes of chunks, are learnt from after all others only, so that none of them takes the place of many.
+LONG_BYTES = SAMPLE_BYTES // 20
 STEPS, BATCH, RATE = 800, 32, 4e-3
 #: Chunks whose windows are laid out at once (8 MB).
 SLAB = 128
@@ -179,11 +181,12 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict:
     """Learn from the labels that are not held out: of each class the `sample_rows`
-    rows first in an order by hash, as far as they fit SAMPLE_BYTES. Texts are learnt
-    from whole, as they are scored. Of several texts or labels of one doc_id the least
+    rows first in an order by hash, as far as they fit SAMPLE_BYTES; texts above LONG_BYTES
+    stand behind the others, so they are what is left out. Texts are learnt from whole, as
+    they are scored. Ids may be of any type. Of several texts or labels of one doc_id the least
     text, then the least label counts; a null text is an empty one; labels without a
     doc_id, and such as are neither 0 nor 1, count for nothing. Without labels all texts
-    score a half; with those of one class, near that class."""
+    score a half; with those of one class, near that class; empty documents are no labels."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     counts = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     pick = lambda q: rows.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -198,10 +201,10 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample_row
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), batch.column(2)], names=["doc_id", "data", "quality"])
 
     chunks = 1 + F.greatest(F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) - CHUNK) / STEP), F.lit(0))
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("quality").orderBy(chunks * CHUNK > LONG_BYTES, F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     found = found.groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("x")).select("doc_id", "x.text", "x.quality")
-    found = found.withColumn("taken", F.sum(chunks * CHUNK).over(order)).where(F.col("taken") <= SAMPLE_BYTES)
-    cuts = found.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int")).mapInArrow(cut, "doc_id long, data binary, quality int")
+    found = found.where(chunks * CHUNK <= SAMPLE_BYTES).withColumn("taken", F.sum(chunks * CHUNK).over(order)).where(F.col("taken") <= SAMPLE_BYTES)
+    cuts = found.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(cut, schema_with(found.select("doc_id"), "data binary, quality int"))
     sample = sorted((r["doc_id"], bytes(r["data"]), r["quality"]) for r in cuts.collect())
     total = sum(counts.values())
     return fit([(x, y) for _, x, y in sample], counts.get(1, 0) / total if total else 0.5)
