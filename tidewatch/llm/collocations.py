@@ -286,7 +286,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     an empty table gives an empty one. Ranks come from positions in a range-partitioned
     order, so no task sees a whole language."""
     text_batches(docs.sparkSession)
-    found = settle(pieces(docs, text_col, lang_col), "collocation-pieces")
+    found = settle(pieces(docs, text_col, lang_col), "collocation-pieces", "zstd")
     n_words = F.char_length("piece") - F.char_length(F.translate("piece", " ", "")) + 1
     sizes = settle(found.groupBy("lang").agg(F.sum(F.col("m") * n_words).alias("n")), "collocation-sizes")
     counts = frequent(found, least)

@@ -52,12 +52,13 @@ def clear_scratch(spark: SparkSession) -> None:
     _delete(spark, scratch_folder(spark))
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: later steps start from
     files that outlive any executor, and joins on it start from an exchange that
-    adaptive execution can split when a key is hot."""
+    adaptive execution can split when a key is hot. zstd suits tables that are large
+    and stay for long."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     settled = df.sparkSession.read.schema(df.schema).parquet(path)
     settled.settled_at = path
     return settled
