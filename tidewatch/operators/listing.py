@@ -43,10 +43,10 @@ def paged_search(spark, sf_dir):
 
 
 def any_of_three(spark, sf_dir):
-    """Items that share URL path, title or day and source with one of the first ten:
-    three equal joins in place of one condition with OR."""
+    """Items that share URL path, title or hour and source with an item whose id is divisible
+    by 50: three equal joins in place of one condition with OR."""
     rows = items(spark, sf_dir).withColumns({"path": F.regexp_extract("url", "(/[ab]/[0-9]+)", 1), "hour": F.date_trunc("hour", F.col("collected_at")).cast("timestamp_ntz")})
-    few = rows.where("raw_id < 10").select(*[F.col(c).alias(f"_{c}") for c in ("raw_id", "path", "title", "source", "hour")])
+    few = rows.where("raw_id % 50 = 0").select(*[F.col(c).alias(f"_{c}") for c in ("raw_id", "path", "title", "source", "hour")])
     other = F.col("raw_id") != F.col("_raw_id")
     met = [rows.join(few, on & other) for on in (F.col("path") == F.col("_path"), F.col("title") == F.col("_title"), (F.col("source") == F.col("_source")) & (F.col("hour") == F.col("_hour")))]
     return reduce(DataFrame.unionByName, [m.select("raw_id", F.col("_raw_id").alias("like_id")) for m in met]).distinct()
@@ -157,7 +157,7 @@ ORACLE_SQL = {
     "paged_search": f"""WITH {ITEMS_SQL}, f AS (SELECT * FROM items WHERE (title ILIKE '%THAN%' OR summary ILIKE '%THAN%') AND lang = 'en' AND coalesce(published_at, collected_at) >= TIMESTAMP '2024-01-01 02:00:00')
       SELECT raw_id, source, published_at, (SELECT count(*) FROM f) AS total FROM f ORDER BY published_at DESC NULLS LAST, raw_id DESC LIMIT {ROWS} OFFSET {(PAGE - 1) * ROWS}""",
     "any_of_three": f"""WITH {ITEMS_SQL}, r AS (SELECT *, regexp_extract(url, '(/[ab]/[0-9]+)', 1) AS path, date_trunc('hour', collected_at) AS h FROM items)
-      SELECT a.raw_id, b.raw_id AS like_id FROM r a JOIN r b ON b.raw_id < 10 AND a.raw_id <> b.raw_id AND (a.path = b.path OR a.title = b.title OR (a.source = b.source AND a.h = b.h))""",
+      SELECT a.raw_id, b.raw_id AS like_id FROM r a JOIN r b ON b.raw_id % 50 = 0 AND a.raw_id <> b.raw_id AND (a.path = b.path OR a.title = b.title OR (a.source = b.source AND a.h = b.h))""",
     "closed_neighbours": f"WITH {ARTICLES_SQL}, e AS (SELECT article_id, company_id, CAST(floor(epoch(seen_at)) AS BIGINT) AS sec FROM articles) SELECT article_id, count(*) OVER (PARTITION BY company_id ORDER BY sec RANGE BETWEEN 900 PRECEDING AND 900 FOLLOWING) - 1 AS near FROM e",
     "event_list": f"""WITH {ARTICLES_SQL}, s AS (SELECT company_id, story, max(negative) FILTER (WHERE source <> 'signup') AS p, max(seen_at) AS last_at FROM articles GROUP BY ALL), v AS (SELECT *, CASE WHEN p >= 0.85::DOUBLE THEN 'critical' ELSE 'warning' END AS severity FROM s)
       SELECT company_id, story, severity, round(p, 6) AS probability, row_number() OVER (PARTITION BY company_id ORDER BY severity = 'critical' DESC, p DESC NULLS LAST, last_at DESC, story DESC) AS place FROM v""",

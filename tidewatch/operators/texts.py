@@ -54,17 +54,6 @@ def keyword_share(spark, sf_dir):
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *share)
 
 
-def token_jaccard_items(spark, sf_dir):
-    """Pairs of benchmark items that share a word of five letters or more, with the
-    Jaccard similarity of these words: candidates meet on shared words only."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \n]+"), lambda w: F.char_length(w) >= 5))
-    rows = table(spark, sf_dir, "benchmark").select("item_id", words.alias("words")).where(F.size("words") > 0)
-    each = rows.select("item_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    a, b = each.toDF("a", "n_a", "word"), each.toDF("b", "n_b", "word")
-    both = a.join(b, "word").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("both"))
-    return both.select("a", "b", F.round(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), 6).alias("jaccard"))
-
-
 def jaccard_pairs(items, at_least=0.0):
     """All pairs a < b of items (item_id, words without repeats) that share a word and
     whose words have a Jaccard similarity of at_least. Words are put in order from the
@@ -84,24 +73,11 @@ def jaccard_pairs(items, at_least=0.0):
 
 def token_jaccard_pairs(spark, sf_dir):
     """Pairs of benchmark items that share a word of any length, with the Jaccard
-    similarity of all their words. token_jaccard_items, as its SQL has it, leaves out
-    the words below five letters."""
+    similarity of all their words."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \n]+"), lambda w: w != ""))
     return jaccard_pairs(table(spark, sf_dir, "benchmark").select("item_id", words.alias("words")))
 
 
-def vector_relative_cut(spark, sf_dir):
-    """For ten fixed query vectors: the vectors of the same label with cosine of at
-    least 0.2, at most five, none below 0.92 of the best."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    queries = F.broadcast(rows.where("vec_id < 10").toDF("query_id", "label", "q"))  # ten rows
-    scored = rows.join(queries, "label").where("vec_id <> query_id").withColumn("score", F.round(dot(F.col("v"), F.col("q")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("q"), F.col("q"))), 6)).where("score >= 0.2")
-    of = Window.partitionBy("query_id")
-    ranked = scored.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), "vec_id")).cast("long")).where("rank <= 5").withColumn("best", F.max("score").over(of))
-    return ranked.where("score >= 0.92 * best").select("query_id", "rank", "vec_id", "score")
-
-
 def _top_five(queries, rows):
     """The five best of a shard's rows for each of a block's queries, scores rounded as
     in the SQL, the smaller vec_id first among equals."""
@@ -125,8 +101,7 @@ def _top_five(queries, rows):
 def vector_relative_cut_all(spark, sf_dir):
     """For each vector whose id is divisible by 50: the vectors of the same label with
     cosine of at least 0.2, at most five, none below 0.92 of the best. Blocks of queries
-    meet shards of rows, and the shards' best are merged. vector_relative_cut, as its
-    SQL has it, asks for ten vectors only."""
+    meet shards of rows, and the shards' best are merged."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v")).where("label IS NOT NULL AND embedding IS NOT NULL")
     n = rows.count()
     shards, blocks = -(-n // SHARD_ROWS) or 1, -(-n // (50 * BLOCK_QUERIES)) or 1
@@ -176,7 +151,7 @@ def threshold_grid(spark, sf_dir):
     return by.select("cell", tp.alias("tp"), taken.alias("taken"), F.round(5 * tp / (4 * total + taken), 6).alias("f2"))
 
 
-QUERIES = {f.__name__: f for f in (url_normalize, source_domain_credibility, content_hash_dedupe, ad_rules_score, keyword_share, token_jaccard_items, token_jaccard_pairs, vector_relative_cut, vector_relative_cut_all, first_turn_of_conversation, binary_metrics, rank_auc, threshold_grid)}
+QUERIES = {f.__name__: f for f in (url_normalize, source_domain_credibility, content_hash_dedupe, ad_rules_score, keyword_share, token_jaccard_pairs, vector_relative_cut_all, first_turn_of_conversation, binary_metrics, rank_auc, threshold_grid)}
 
 _LABELLED = "SELECT d.*, quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
 ORACLE_SQL = {
@@ -185,14 +160,8 @@ ORACLE_SQL = {
     "content_hash_dedupe": "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "ad_rules_score": f"SELECT raw_id AS doc_id, ad_score, CASE WHEN ad_score >= {filtering.AD_REJECT}::DOUBLE THEN 'reject' WHEN ad_score >= {filtering.AD_REVIEW}::DOUBLE THEN 'review' ELSE 'pass' END AS band FROM ({filtering.ORACLE_SQL['filter_ads']})",
     "keyword_share": f"WITH n AS (SELECT lang, {T.normalized_sql('text')} AS norm FROM documents) SELECT lang, count(*) AS n, " + ", ".join(f"round(avg(({' OR '.join(T.holds_term_sql('norm', w) for w in words)})::INT), 6) AS share_{kind}" for kind, words in KINDS.items()) + " FROM n GROUP BY lang",
-    "token_jaccard_items": r"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \n]+'), lambda w: length(w) >= 5)) AS words FROM benchmark)
-      SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))), 6) AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.words, b.words)) > 0""",
     "token_jaccard_pairs": r"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \n]+'), lambda w: w <> '')) AS words FROM benchmark)
       SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))), 6) AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.words, b.words)) > 0""",
-    "vector_relative_cut": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-      s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e JOIN e q ON q.label = e.label AND q.vec_id < 10 AND e.vec_id <> q.vec_id),
-      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM s WHERE score >= 0.2)
-      SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5 AND score >= 0.92 * best""",
     "vector_relative_cut_all": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
       s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e JOIN e q ON q.label = e.label AND q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM s WHERE score >= 0.2)
