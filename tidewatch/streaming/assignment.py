@@ -151,7 +151,8 @@ def parents(rows: DataFrame) -> DataFrame:
     span = FOLLOW_UP * 3600
     own = rows.withColumns({"span": F.floor(F.col("at") / span), "asks": F.lit(True)})
     both = own.unionByName(own.withColumns({"span": F.col("span") + 1, "asks": F.lit(False)}))
-    dealt = both.repartition("company_id", "span").sortWithinPartitions("company_id", "span", "at", "raw_id")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed, as the work is large for the bytes
+    dealt = both.repartition(tasks, "company_id", "span").sortWithinPartitions("company_id", "span", "at", "raw_id")
 
     def assign(batches):
         import pyarrow as pa
