@@ -1,12 +1,12 @@
 """Main text of HTML pages by nearest-URL page differencing.
 
-The blocks of a page are its lines. Pages of a host are ordered by URL path, and
-each is paired with the neighbour whose path has more in common with its own. A
-longest common subsequence aligns the two pages' lines; lines in it are the
-site's, not the page's, and go: menus, notices, adverts and footers. What stands in an
-article or main element is the page's own even if the neighbour has it too (a licence
-or a passage may be quoted, a page mirrored). Only then does markup decide: lines that
-no neighbour shares go if they stand in an element that names its purpose.
+The blocks of a page are its lines. Pages of a host are ordered by URL path, and each
+is paired with the pages nearest by URL, NEIGHBOURS to either side. A longest common
+subsequence aligns the lines of each pair; lines in it are the site's, not the page's,
+and go: menus, notices, adverts and footers. What stands in an article or main element
+is the page's own even if a neighbour has it too (a licence or a passage may be quoted,
+a page mirrored). Only then does markup decide: lines that no neighbour shares go if
+they stand in an element that names its purpose.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, deque
+from itertools import chain
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewatch.llm.common import kept, settle, text_batches, with_positions
+from tidewatch.llm.common import TEXT_ROWS_PER_BATCH, kept, settle, text_batches, with_positions
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|textarea|template|iframe|svg|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -35,6 +36,7 @@ _OWN = frozenset(("article", "main"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that no name takes away, and those on which an id is an anchor only.
 _NEVER = frozenset("html body".split()) | _OWN | _HEADINGS
+_FRAME = frozenset("html head body main".split()) | _HEADINGS
 _ANCHORS = frozenset("section p li dt dd td th tr blockquote figure pre".split())
 #: Elements whose end tag is optional; those that a start tag ends, and what bounds the search.
 _OPTIONAL = frozenset("p li dt dd tr td th thead tbody tfoot option caption".split())
@@ -44,6 +46,13 @@ _PURPOSE = re.compile(
     r"ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget",
     re.I,
 )
+#: Reader comments and adverts, as the first word of a name (comment-list, ad-slot); they
+#: go from articles too. Parts of a layout, as its last word (site-header, cookie-banner),
+#: unless the first says that the element only has or lacks one.
+_FOREIGN = re.compile(r"ad|ads|advert\w*|adsense|comments?|disqus", re.I)
+_LAYOUT = re.compile(r"banner|breadcrumbs?|footer|header|menu|nav|navbar|newsletter|sidebar|toolbar", re.I)
+_HAVING = frozenset("has no with without".split())
+_WORDS = re.compile(r"[-_]+")
 
 
 def _extents(tags: list) -> dict[int, tuple[int, bool]]:
@@ -92,9 +101,41 @@ def _named(name: str, attributes: str, own: int) -> bool:
             for token in value.strip("\"'").split():
                 if _PURPOSE.fullmatch(token) and not (own and token.lower() == "header"):
                     return True
+                words = _WORDS.split(token)
+                if not own and len(words) > 1 and _LAYOUT.fullmatch(words[-1]) and words[0].lower() not in _HAVING:
+                    return True
+    return False
+
+
+def _foreign(name: str, attributes: str) -> bool:
+    """Whether a class, id, role or label says that an element holds reader comments or
+    adverts. The id of a paragraph or list item may be an anchor."""
+    if not attributes or name in _FRAME:
+        return False
+    for kind, value in _NAMED.findall(attributes):
+        if kind.lower() != "id" or name not in _ANCHORS or name == "section":
+            if any(_FOREIGN.fullmatch(_WORDS.split(token)[0]) for token in value.strip("\"'").split()):
+                return True
     return False
 
 
+def _article(tags: list, ends_at: dict, bodies: list[int], foreign: set[int]) -> int:
+    """The tag of the page's own article: the longest article or main element that is no
+    comment or advert and stands in none; if there is no such, the longest of all; else -1."""
+
+    def length(i: int) -> int:
+        end = ends_at[i][0] if i in ends_at else i
+        return (tags[end].start() if end < len(tags) else tags[-1].end()) - tags[i].end()
+
+    inside, covered = set(), -1
+    for i in sorted({*bodies, *foreign}):
+        if i in foreign:
+            covered = max(covered, ends_at[i][0])
+        if i < covered:
+            inside.add(i)
+    return max([i for i in bodies if i not in inside] or bodies, key=length, default=-1)
+
+
 #: What blocks tells of a line: in an article or main element, elsewhere, in a named part.
 OWN, PLAIN, NAMED = 0, 1, 2
 
@@ -102,13 +143,16 @@ OWN, PLAIN, NAMED = 0, 1, 2
 def blocks(page: str) -> list[tuple[str, int]]:
     """The visible lines of a page in order and where each stands (OWN, PLAIN or NAMED).
     No name takes away an article, a main element or what holds one, and a part that
-    is never closed ends before them."""
+    is never closed ends before them; only comments and adverts go although they are or
+    hold an article, if it is not the page's own."""
     out: list[tuple[str, int]] = []
     text: list[str] = []
     tags = list(_TOKEN.finditer(page))
     ends_at = _extents(tags)
     mains = [i for i, m in enumerate(tags) if m[3] and not m[2] and m[3].lower() == "main"]
     bodies = [i for i, m in enumerate(tags) if m[3] and not m[2] and m[3].lower() in _OWN]
+    foreign = {i for i in ends_at if _foreign(tags[i][3].lower(), tags[i][4])}
+    article = _article(tags, ends_at, bodies, foreign) if foreign else -1
     own, outside, named, silent, at = 0, 0, -1, -1, 0
 
     def close(i: int) -> None:
@@ -123,6 +167,8 @@ def blocks(page: str) -> list[tuple[str, int]]:
 
     def left_out(i: int, name: str, attributes: str) -> int:
         """The tag up to which the element is no text, or -1."""
+        if i in foreign and (ends_at[i][1] or name in _OPTIONAL) and not i <= article < ends_at[i][0]:
+            return ends_at[i][0]
         aside = name in _ASIDE or (name == "header" and not own)
         if i not in ends_at or not (aside or _named(name, attributes, own)):
             return -1
@@ -151,7 +197,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
         elif name in _BLOCKS:
             close(i)
             if not ends and named < 0 and (to := left_out(i, name, m[4])) >= 0:
-                named, outside = to, own
+                named, outside = to, own + (1 if name in _OWN and ends_at[i][1] else 0)
             elif name in _OWN:
                 own = max(0, own + (-1 if ends else 1))
         elif name == "button" and not ends:
@@ -162,12 +208,21 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def common_lines(a: list, b: list) -> list[int]:
-    """Indices in a of a longest common subsequence of a and b. The sequence grows
-    from matching positions only, by binary search in the ends of those found."""
+def _places(lines: list) -> dict:
     where: dict = {}
-    for j, line in enumerate(b):
+    for j, line in enumerate(lines):
         where.setdefault(line, []).append(j)
+    return where
+
+
+def common_lines(a: list, b: list) -> list[int]:
+    """Indices in a of a longest common subsequence of a and b."""
+    return _aligned(a, _places(b))
+
+
+def _aligned(a: list, where: dict) -> list[int]:
+    """`common_lines` with the places of b's lines. The sequence grows from matching
+    positions only, by binary search in the ends of those found."""
     ends: list[int] = []
     last: list[tuple] = []
     for i, line in enumerate(a):
@@ -186,6 +241,18 @@ def common_lines(a: list, b: list) -> list[int]:
     return found[::-1]
 
 
+def shared_with(lines: list, path: str, near: list[tuple[str, dict]]) -> list[int]:
+    """Indices of lines that alignments with the pages near (path, places) have in common,
+    the nearest path first. A page whose lines in common are all found adds none."""
+    import os
+
+    found: set[int] = set()
+    for _, where in sorted(near, key=lambda page: -len(os.path.commonprefix([path, page[0]]))):
+        if any(line in where and i not in found for i, line in enumerate(lines)):
+            found.update(_aligned(lines, where))
+    return sorted(found)
+
+
 def _hashes(lines: list[tuple[str, int]]) -> list[int]:
     import xxhash
 
@@ -200,33 +267,74 @@ def _line_hashes(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lines, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "lines"])
 
 
-def _shared(batches):
-    """(k1, k2, path, lines, before path and lines, after path and lines) to
-    (k1, k2, shared)."""
-    import os
-
-    import pyarrow as pa
-
-    for batch in batches:
-        k1, k2, found = [], [], []
-        for a, b, path, lines, path_1, lines_1, path_2, lines_2 in zip(*(c.to_pylist() for c in batch.columns)):
-            alike = [len(os.path.commonprefix([path, p])) if p is not None else -1 for p in (path_1, path_2)]
-            if max(alike) < 0:
-                continue
-            if some := common_lines(lines, lines_1 if alike[0] >= alike[1] else lines_2):
-                k1.append(a)
-                k2.append(b)
-                found.append(some)
-        yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["k1", "k2", "shared"])
-
-
-#: Pages that one task aligns at once, in order of URL.
-RUN_ROWS = 1_024
-
-
-def shared_lines(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(k1, k2, shared): of each distinct list of lines on a host, named by two
-    hashes, the indices of lines that its nearest page has too, if any."""
+def neighbourhoods(rows, group, k: int):
+    """Each row with the rows up to k before and after it in its group. Rows come in
+    order; 2 k + 1 of them are held at a time."""
+    held: deque = deque()
+    given, now = 0, None
+
+    def near(i: int) -> list:
+        return [held[j] for j in range(max(0, i - k), min(len(held), i + k + 1)) if j != i]
+
+    for row in chain(rows, [None]):
+        if row is None or (held and group(row) != now):
+            while given < len(held):
+                yield held[given], near(given)
+                given += 1
+            held.clear()
+            given = 0
+        if row is None:
+            return
+        now = group(row)
+        held.append(row)
+        if len(held) - given > k:
+            yield held[given], near(given)
+            given += 1
+            if given > k:
+                held.popleft()
+                given -= 1
+
+
+def _sharing(neighbours: int):
+    """(run, own, host, path, k1, k2, lines) in order of run and URL to (k1, k2, shared)."""
+
+    def shared(batches):
+        import pyarrow as pa
+
+        def rows():
+            for batch in batches:
+                for run, own, host, path, k1, k2, lines in zip(*(c.to_pylist() for c in batch.columns)):
+                    yield (run, host), own, path, k1, k2, lines, _places(lines)
+
+        found: list[tuple] = []
+        columns = [("k1", pa.int64()), ("k2", pa.int64()), ("shared", pa.list_(pa.int32()))]
+
+        def flushed():
+            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, (_, t) in enumerate(columns)], names=[n for n, _ in columns])
+            found.clear()
+            return out
+
+        for (_, own, path, k1, k2, lines, _), near in neighbourhoods(rows(), lambda r: r[0], neighbours):
+            if own and near and (some := shared_with(lines, path, [(r[2], r[6]) for r in near])):
+                found.append((k1, k2, some))
+                if len(found) == TEXT_ROWS_PER_BATCH:
+                    yield flushed()
+        yield flushed()
+
+    return shared
+
+
+#: Pages that are aligned in one run, in order of URL, and with how many on either side each is.
+RUN_ROWS, NEIGHBOURS = 1_024, 16
+
+
+def shared_lines(pages: DataFrame, url_col: str, html_col: str, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(k1, k2, shared): of each distinct list of lines on a host, named by two hashes, the
+    indices of lines that pages near it have too, if any. Runs take along the pages next
+    to them, so a page meets all its neighbours in one task, which holds 2 x neighbours
+    + 1 pages' lines at a time."""
+    if not 1 <= neighbours <= RUN_ROWS:
+        raise ValueError(f"neighbours must be from 1 to {RUN_ROWS}")
     path = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[^:/?#]*:?//[^/?#]*)?([^?#]*)", 1)
     split = pages.select(_host(url_col).alias("host"), F.regexp_replace(path, r"/+$", "").alias("path"), F.col(html_col).alias("__html"))
     lines = split.mapInArrow(_line_hashes, "host string, path string, lines array<bigint>").where(F.size("lines") > 0)
@@ -234,14 +342,10 @@ def shared_lines(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     once = lines.groupBy("k1", "k2").agg(F.first("host").alias("host"), F.min("path").alias("path"), F.first("lines").alias("lines"))
     placed = with_positions(once.select("host", "path", "k1", "k2", "lines"), ["host", "path", "k1", "k2"], "pages")
     run, at = F.floor(F.col("position") / RUN_ROWS), F.col("position") % RUN_ROWS
-    runs = F.array_compact(F.array(run, F.when(at == 0, run - 1), F.when(at == RUN_ROWS - 1, run + 1)))
-    near = Window.partitionBy("run").orderBy("position")
-    beside = {}
-    for side, step in (("before", F.lag), ("after", F.lead)):
-        same = step("host").over(near) == F.col("host")
-        beside |= {f"{side}_{c}": F.when(same, step(c).over(near)) for c in ("path", "lines")}
-    paired = placed.withColumn("run", F.explode(runs)).withColumns(beside).where(F.col("run") == run)
-    return paired.select("k1", "k2", "path", "lines", "before_path", "before_lines", "after_path", "after_lines").mapInArrow(_shared, "k1 bigint, k2 bigint, shared array<int>")
+    runs = F.array_compact(F.array(run, F.when(at < neighbours, run - 1), F.when(at >= RUN_ROWS - neighbours, run + 1)))
+    dealt = placed.withColumn("run", F.explode(runs)).withColumn("own", F.col("run") == run)
+    ordered = dealt.repartition("run").sortWithinPartitions("run", "position")
+    return ordered.select("run", "own", "host", "path", "k1", "k2", "lines").mapInArrow(_sharing(neighbours), "k1 bigint, k2 bigint, shared array<int>")
 
 
 def _host(url_col: str):
@@ -281,14 +385,15 @@ def _chosen(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n_shared, pa.int32()), pa.array(n_named, pa.int32())], names=["row", "text", "n_shared", "n_named"])
 
 
-def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
+def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None, neighbours: int = NEIGHBOURS) -> DataFrame:
     """One row for each row of pages: the columns `keep` (else all but html_col and
     those named like a result), then text, n_chars (code points), n_shared and n_named
-    (lines left out as the nearest page has them too, and by what their element is).
+    (lines left out as pages near by have them too, and by what their element is).
 
-    A text is the page's lines without those that its nearest page shares, unless
-    they stand in an article or main element; then without those of forms, menus and
-    elements whose class, id or role says what they are. Scripts and styles are no
+    A text is the page's lines without those that it shares with the pages nearest by
+    URL on its host, `neighbours` to either side, unless they stand in an article or main
+    element; then without those of forms, menus and elements whose class, id or role says
+    what they are. Scripts and styles are no
     lines. Character references are decoded, white space inside a line becomes one
     space, lines are joined by an empty line. Null and empty pages have an empty text;
     pages without url form one host; repeated rows give repeated results, and pages
@@ -296,7 +401,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ke
     Columns may have any names. An empty table gives an empty one."""
     keep = kept(pages, keep, [html_col], ["text", "n_chars", "n_shared", "n_named"])
     text_batches(pages.sparkSession)
-    deleted = settle(shared_lines(pages, url_col, html_col), "pages-shared")
+    deleted = settle(shared_lines(pages, url_col, html_col, neighbours), "pages-shared")
     rows = pages.select(F.struct(*keep).alias("row"), _host(url_col).alias("host"), F.col(html_col).alias("html"))
     row = StructType([rows.schema["row"]])
     packed = rows.mapInArrow(_packed, StructType([*row.fields, *StructType.fromDDL("host string, hashes array<bigint>, lines binary, places binary").fields]))
