@@ -12,10 +12,10 @@ def article_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
     return rows.withColumn("seen_at", F.col("seen_at").cast("timestamp"))
 
 
-def windowed(rows: DataFrame, width: str = "15 minutes", late: str = "60 minutes") -> DataFrame:
+def windowed(rows: DataFrame, width: str = "15 minutes", late: str | None = "60 minutes") -> DataFrame:
     """Counts and sentiment of each company and window; rows more than `late` behind
-    the newest are dropped, so state stays bounded."""
-    grouped = rows.withWatermark("seen_at", late).groupBy("company_id", F.window("seen_at", width).alias("w"))
+    the newest are dropped, so state stays bounded. None if rows have a watermark."""
+    grouped = (rows.withWatermark("seen_at", late) if late else rows).groupBy("company_id", F.window("seen_at", width).alias("w"))
     found = grouped.agg(F.count(F.lit(1)).alias("articles"), F.avg("negative").alias("mean_negative"), F.max("negative").alias("max_negative"))
     return found.select("company_id", F.col("w.start").alias("window_start"), "articles", "mean_negative", "max_negative")
 
