@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import kept, schema_with, text_batches
 from tidewatch.llm.vocabulary import TwoGenerations, default_path, vocabulary
 
-#: Entries of the broadcast table (about 3 MB): its proven bound, whatever the corpus.
-TABLE_ENTRIES = 32_768
-#: Texts, about, that the table is made from, and the tasks that count them. It holds
+#: Entries of the broadcast table and the bytes of a pre-token in it: at most 2 MB of
+#: strings and as many numbers, whatever the corpus. Longer pre-tokens are left to the caches.
+TABLE_ENTRIES, ENTRY_BYTES = 32_768, 64
+#: Different texts, about and at most, that the table is made from, and the tasks that count them. It holds
 #: what is frequent in them; that decides how fast counting is, never a count.
 SAMPLE_TEXTS, SAMPLE_TASKS = 4_096, 8
 #: Distinct strings a task counts before it forgets its rarest; bounds memory only.
@@ -28,7 +29,8 @@ CACHE_ENTRIES = 300_000
 
 def frequent_pre_tokens(df: DataFrame, text_col: str, path: str, entries: int = TABLE_ENTRIES) -> dict[str, int]:
     """Token counts of the most frequent pre-tokens of a hash sample of about
-    SAMPLE_TEXTS texts, at most `entries`. A few tasks count them and send their own
+    SAMPLE_TEXTS different texts, at most `entries`. Copies of a text count once, so that
+    a text of many rows does not fill the sample. A few tasks count them and send their own
     most frequent ones to the driver, at most `entries` each."""
 
     def propose(batches):
@@ -38,14 +40,14 @@ def frequent_pre_tokens(df: DataFrame, text_col: str, path: str, entries: int =
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    words.update(vocab.pre_tokens(text))
+                    words.update(w for w in vocab.pre_tokens(text) if len(w) <= ENTRY_BYTES and len(w.encode("utf-8", "surrogatepass")) <= ENTRY_BYTES)
             if len(words) > LOCAL_DISTINCT:
                 words = Counter(dict(words.most_common(LOCAL_DISTINCT // 4)))
         top = words.most_common(entries)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
     every = max(1, df.count() // SAMPLE_TEXTS)
-    sample = df.select(F.col(text_col)).where(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0).repartition(SAMPLE_TASKS)
+    sample = df.select(F.col(text_col)).where(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0).distinct().repartition(SAMPLE_TASKS)
     total: Counter = Counter()
     for row in sample.mapInArrow(propose, "word string, n long").collect():
         total[row["word"]] += row["n"]
