@@ -64,3 +64,45 @@ def test_pairs_against_plain_rules(spark):
 def test_sequence_ratio(spark, a, b, ratio):
     df = spark.createDataFrame([(a, b)], "a string, b string")
     assert df.select(stories.sequence_ratio(F.col("a"), F.col("b"))).first()[0] == pytest.approx(difflib.SequenceMatcher(None, a, b).ratio())
+
+
+def made_items(n, spread=(0, 5, 100, 160, 400, 800)):
+    import random
+
+    draw, words = random.Random(4), "thor erin onan plant stops fire crew anea talks union deal queau late again".split()
+    at = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(n):
+        when = at + dt.timedelta(hours=draw.choice(spread))
+        rows.append((i, i % 2, " ".join(draw.sample(words, draw.choice([1, 3, 5]))), draw.choice(["", " ".join(draw.sample(words, 6))]), when if i % 4 else None, when))
+    return rows
+
+
+def test_pairs_over_several_tiles(spark, monkeypatch):
+    """Blocks smaller than a company change no pair; without scores fewer pairs link the same items."""
+    rows = spark.createDataFrame(made_items(80), ITEM)
+    told = lambda df: sorted(tuple(r) for r in df.collect())
+    want = told(stories.matched_pairs(rows))
+    monkeypatch.setattr(stories, "TILE", 7)
+    assert want and told(stories.matched_pairs(rows)) == want
+    links = stories.matched_pairs(rows, scored=False)
+    ends = lambda df: told(stories.components(df.select("a", "b")))
+    assert links.columns == ["a", "b"] and links.count() < len(want)
+    assert ends(links) == ends(spark.createDataFrame(want, "a long, b long, score double"))
+
+
+def test_no_pair_carries_its_texts(spark):
+    """Only items travel, so what is shuffled does not grow with the pairs that share a word."""
+    plan = stories.matched_pairs(spark.createDataFrame(made_items(10), ITEM))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "explode" not in plan
+
+
+def test_ratio_of_strings_is_difflibs():
+    import random
+
+    from tidewatch.functions.likeness import sequence_ratio
+
+    draw = random.Random(2)
+    for _ in range(3000):
+        a, b = ("".join(draw.choices("abcde"[: draw.choice([2, 5])], k=draw.choice([0, 1, 7, 40, 210]))) for _ in "ab")
+        assert sequence_ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
