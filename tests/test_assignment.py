@@ -130,3 +130,20 @@ def test_stream_against_replay(spark, tmp_path):
 
 def test_no_articles(spark):
     assert assignment.assigned(assignment.ready(spark.createDataFrame([], ITEM))).collect() == []
+
+
+def test_blocks_against_plain_run(spark, monkeypatch):
+    """By arrays and blocks, with few candidates and fewer compared, each item joins what it joins one by one."""
+    import pyarrow as pa
+
+    rows = [(i, 0, t, s, w, w) for i, (_, _, t, s, _, w) in enumerate(made(90, 2))]
+    ready = sorted((r.asDict(recursive=True) for r in assignment.ready(spark.createDataFrame(rows, ITEM)).collect()), key=lambda r: (r["at"], r["raw_id"]))
+    for compared, candidates in ((3, 1500), (80, 10), (2, 7), (80, 1500)):
+        monkeypatch.setattr(assignment, "COMPARED", compared)
+        monkeypatch.setattr(assignment, "CANDIDATES", candidates)
+        got = {}
+        for block in range(-(-len(ready) // candidates)):
+            part = [{"company_id": 0, "block": block, "position": p, "asks": p // candidates == block} | {k: r[k] for k in ("raw_id", "at", "fingerprint", "t", "body", "concepts")} for p, r in enumerate(ready) if block - 1 <= p // candidates <= block]
+            for batch in assignment._joined([pa.RecordBatch.from_pylist(part)]):
+                got |= {r["raw_id"]: (r["parent"], r["similarity"]) for r in batch.to_pylist()}
+        assert got == plain(rows, compared, candidates)
