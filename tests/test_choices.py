@@ -83,3 +83,22 @@ def test_no_story_is_in_two_splits(spark):
     assert len({(r["company_id"], r["story"]) for r in rows}) == len(rows)
     share = sum(r["split"] == "train" for r in rows) / len(rows)
     assert abs(share - 0.7) <= 1 / len(rows)
+
+
+def test_histories_against_pairs(spark):
+    """Ordered arrays choose what one window over all pairs chooses, with nulls, and make no pairs."""
+    import datetime as dt
+    import random
+
+    draw = random.Random(3)
+    rows = [(i, draw.choice([0, 1, None]), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=draw.randrange(40)), draw.choice([1.5, 2.0, 3.0, None])) for i in range(60)]
+    df = spark.createDataFrame(rows, "article_id long, company_id long, seen_at timestamp_ntz, x double")
+    pairs = choices.candidate_pairs(df, history=7).select(F.col("a.article_id").alias("t"), F.col("b.article_id").alias("c"), F.col("b.position").alias("at"), F.abs(F.col("a.x") - F.col("b.x")).alias("apart"))
+    want = {(r["t"], r["c"]): r["orders"] for r in choices.ranked_union(pairs, "t", "c", {"near": ([-F.col("apart"), F.col("at")], 3), "time": ([F.col("at")], 2)}).collect()}
+    found = choices.ranked_histories(df, {"near": (lambda a, b: [-F.abs(a["x"] - b["x"])], 3), "time": (lambda a, b: [], 2)}, history=7)
+    got = {}
+    for r in found.collect():
+        for name in ("near", "time"):
+            for c in r[name]:
+                got.setdefault((r["article_id"], c), []).append(name)
+    assert want and got == want
