@@ -3,6 +3,9 @@ snapshots, tiers, splits, cohorts, notifications."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -99,53 +102,65 @@ def group_split(spark, sf_dir):
     return rows.select("company_id", "story", F.when(share <= 0.7, "train").when(share <= 0.85, "validation").otherwise("test").alias("split"))
 
 
-def sanitized(message):
-    """An operator's summary of an error: secrets and authorisation masked, what a
-    database says told in two words only, what follows a statement cut off, 800
-    characters at most."""
+def _holds(text, words):
+    """Whether a text holds any of the words."""
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+
+
+def with_summary(rows, message="message"):
+    """rows with `summary`, an operator's summary of an error: secrets and authorisation
+    masked, what a database says told in two words only, what follows a statement cut off,
+    800 characters at most. Each step is a column of its own, so a text is masked once."""
     text = F.trim(F.replace(F.coalesce(F.nullif(message, F.lit("")), F.lit("unknown collection error")), F.lit("\n"), F.lit(" ")))
     for pattern in SECRETS:
         text = F.regexp_replace(text, pattern, "$1$2[REDACTED]")
-    low = F.lower(text)
-    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    rows = rows.withColumn("__text", text).withColumn("__low", F.lower("__text"))
+    text, low = F.col("__text"), F.col("__low")
     lead = F.when(low.startswith("pipeline:"), "pipeline: ").otherwise("")
     cut = F.regexp_replace(text, CUT_FROM, "")
-    return F.when(has(CONFLICT_MARKS), F.concat(lead, F.lit("데이터 저장 충돌"))).when(has(DATABASE_MARKS), F.concat(lead, F.lit("데이터베이스 작업 실패"))).otherwise(F.substr(cut, F.lit(1), F.lit(800)))
+    summary = F.when(_holds(low, CONFLICT_MARKS), F.concat(lead, F.lit("데이터 저장 충돌"))).when(_holds(low, DATABASE_MARKS), F.concat(lead, F.lit("데이터베이스 작업 실패"))).otherwise(F.substr(cut, F.lit(1), F.lit(800)))
+    return rows.withColumn("summary", summary).drop("__text", "__low")
 
 
-def error_code(message):
-    """A stable part of a fingerprint: what kind of error a message tells."""
-    low = F.lower(F.coalesce(message, F.lit("")))
-    has = lambda *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+def with_code(rows, message):
+    """rows with `code`, a stable part of a fingerprint: what kind of error a message tells."""
+    rows = rows.withColumn("__low", F.lower(F.coalesce(message, F.lit(""))))
+    has = lambda *words: _holds(F.col("__low"), words)
     code = F.when(has("timeout", "timed out"), "timeout").when(has("401", "403", "unauthorized"), "authentication").when(has("429", "rate"), "rate_limit").when(has("connection", "network"), "network")
-    return code.when(has("key") & has("설정"), "configuration").when(has("database integrity conflict", "데이터 저장 충돌"), "database_conflict").otherwise("provider_error")
+    return rows.withColumn("code", code.when(has("key") & has("설정"), "configuration").when(has("database integrity conflict", "데이터 저장 충돌"), "database_conflict").otherwise("provider_error")).drop("__low")
 
 
 def error_messages(spark, sf_dir):
     """Failed attempts with an error message, made of their numbers."""
     i = F.col("attempt_id")
     kinds = ["Timeout after 30s for api_key=abc%d, retry", "HTTP 401 Unauthorized: authorization: Bearer tok%d;x", "HTTP 429 rate limit", "connection reset by peer", "pipeline: IntegrityError duplicate key value %d", "psycopg.errors.Deadlock (x) [SQL: UPDATE t SET a=%d]", "provider said no (Background on this error at: http://x/%d)", "secret = s%d&b=1\nline two"]
-    message = F.element_at(F.array(*[F.format_string(k, i) if "%d" in k else F.lit(k) for k in kinds]), (i % len(kinds) + 1).cast("int"))
-    return attempts(spark, sf_dir).where(~F.col("succeeded")).withColumn("message", message)
+    said = [F.format_string(k, i) if "%d" in k else F.lit(k) for k in kinds]
+    message = F.when(i.isNull(), F.lit(None).cast("string"))
+    for k, text in enumerate(said[:-1]):
+        message = message.when(i % len(kinds) == k, text)
+    return attempts(spark, sf_dir).where(~F.col("succeeded")).withColumn("message", message.otherwise(said[-1]))
 
 
 def error_sanitize(spark, sf_dir):
     """Error messages as an operator may see them, and their codes."""
-    return error_messages(spark, sf_dir).select("attempt_id", sanitized(F.col("message")).alias("summary"), error_code(F.col("message")).alias("code"))
+    return with_code(with_summary(error_messages(spark, sf_dir)), "message").select("attempt_id", "summary", "code")
 
 
 def incident_slots(spark, sf_dir):
     """Incidents of a company's slot: quality, failed sources and codes make the
     fingerprint; retries are due 1, 5 and 15 minutes after the first three failures in a
     row of a fingerprint; a company has recovered when every failed source has succeeded
-    later."""
-    codes = error_messages(spark, sf_dir).select("attempt_id", error_code(sanitized(F.col("message"))).alias("code"))
-    rows = attempts(spark, sf_dir).join(codes, "attempt_id", "left")
-    last_ok = rows.where("succeeded").groupBy("company_id", "source").agg(F.max("slot").alias("last_ok"))
-    rows = rows.join(last_ok, ["company_id", "source"], "left")
-    failed = lambda c: F.array_sort(F.collect_set(F.when(~F.col("succeeded"), F.col(c))))
-    by_slot = rows.groupBy("company_id", "slot").agg(F.count_if("succeeded").alias("ok"), F.count_if(~F.col("succeeded")).alias("bad"), failed("source").alias("sources"), failed("code").alias("codes"), F.min(F.when(~F.col("succeeded"), F.coalesce(F.col("last_ok") > F.col("slot"), F.lit(False)))).alias("recovered")).where("bad > 0")
-    quality = F.when(F.col("ok") == 0, "unavailable").otherwise("partial")
+    later. Attempts are counted by slot, source and code before anything else, so what is
+    joined and ordered grows with the slots, not with the attempts."""
+    slot = ["company_id", "slot", "source"]
+    codes = with_code(with_summary(error_messages(spark, sf_dir)), "summary").withColumn("code", F.when(F.col("attempt_id").isNotNull(), F.col("code")))
+    failures = codes.groupBy(*slot, "code").agg(F.count(F.lit(1)).alias("bad"))
+    fine = attempts(spark, sf_dir).where("succeeded")
+    last_ok = fine.groupBy("company_id", "source").agg(F.max("slot").alias("last_ok"))
+    rows = failures.unionByName(fine.groupBy(*slot).agg(F.count(F.lit(1)).alias("ok")), allowMissingColumns=True).join(last_ok, ["company_id", "source"], "left")
+    failed = lambda c: F.array_sort(F.collect_set(F.when(F.col("bad") > 0, F.col(c))))
+    by_slot = rows.groupBy("company_id", "slot").agg(F.sum("ok").alias("ok"), F.sum("bad").alias("bad"), failed("source").alias("sources"), failed("code").alias("codes"), F.min(F.when(F.col("bad") > 0, F.coalesce(F.col("last_ok") > F.col("slot"), F.lit(False)))).alias("recovered")).where("bad > 0")
+    quality = F.when(F.col("ok") > 0, "partial").otherwise("unavailable")
     material = F.concat_ws("|", "quality", F.array_join("sources", "|"), F.array_join("codes", "|"))
     by_slot = by_slot.withColumn("quality", quality).withColumn("fingerprint", F.sha2(material, 256))
     tried = Window.partitionBy("company_id", "fingerprint").orderBy("slot")
