@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from tidewatch.sources.tables import ARTICLES_SQL, articles, table
 TERMS = ["thor", "erin", "eaun", "stand", "anea", "onan", "erble", "attion", "queau", "password", "of the", "de la", "in the and", "licensed under"]
 #: Hours within which articles may tell one story.
 HORIZON_HOURS = 6
+#: Order lines that meet their orders in one task.
+LINES_A_TASK = 500_000
 
 
 def _spans(spark, sf_dir) -> DataFrame:
@@ -98,10 +102,16 @@ def json_elements(spark, sf_dir):
 
 
 def foreign_references(spark, sf_dir):
-    """Order lines whose supplier's nation is not that of the order's customer."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    lines = lines.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where("s_nationkey <> c_nationkey")
-    return lines.groupBy("c_nationkey", "s_nationkey").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("o_orderkey").alias("orders"))
+    """Order lines whose supplier's nation is not that of the order's customer. Lines and
+    orders meet in tasks of so many lines, whatever the input, and an order's lines are
+    counted there: its number is told apart once, by the task that has all of it."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    tasks = max(1, math.ceil(max(lines.count(), orders.count()) / LINES_A_TASK))
+    lines = lines.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey").repartition(tasks, "l_orderkey")
+    orders = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey").repartition(tasks, "o_orderkey")
+    met = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where("s_nationkey <> c_nationkey")
+    each = met.groupBy("o_orderkey", "c_nationkey", "s_nationkey").agg(F.count(F.lit(1)).alias("lines"))
+    return each.groupBy("c_nationkey", "s_nationkey").agg(F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("orders"))
 
 
 def articles_in_windows(spark, sf_dir):
