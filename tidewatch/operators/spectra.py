@@ -18,9 +18,10 @@ from tidewatch.sources.scratch import discard, written
 SHORTEST, LONGEST, LEAST_TEXTS, MOST_TERMS = 2, 4, 3, 18_000
 #: Directions, further ones that the search carries along, and its rounds.
 COMPONENTS, SPARE, ROUNDS, SEED = 32, 10, 5, 42
-#: Distinct n-grams that a task counts before it sends them on; texts multiplied at once;
-#: terms whose sums travel in one row.
-HELD, TEXTS_AT_ONCE, BLOCK = 400_000, 64, 1_000
+#: Distinct n-grams that a task counts before it sends them on, and new ones that wait to be
+#: sorted in; characters that it tells apart at once; texts multiplied at once; terms whose
+#: sums travel in one row.
+HELD, WAITING, MOST_CHARACTERS, TEXTS_AT_ONCE, BLOCK = 400_000, 100_000, 0xFFFF, 64, 1_000
 
 
 def grams(text: str) -> dict[str, int]:
@@ -33,26 +34,104 @@ def grams(text: str) -> dict[str, int]:
     return found
 
 
-def _counted(batches):
-    """(id, text) to (term, texts, n): in how many of the task's texts, and how often."""
+def _keys(points, numbers):
+    """The n-grams of a text's code points, and how often each stands in it: an n-gram is its
+    characters' numbers, 16 bits each (LONGEST is 4 at most, and no number is 0)."""
+    import numpy as np
+
+    own = numbers[points].astype(np.uint64)
+    runs, found = own, []
+    for n in range(1, LONGEST + 1):
+        if n > 1:
+            runs = runs[:-1] << np.uint64(16) | own[n - 1 :]
+        if n >= SHORTEST:
+            found.append(runs)
+    return np.unique(np.concatenate(found), return_counts=True)
+
+
+def _points(text: str | None):
+    import numpy as np
+
+    return np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
+
+
+def _spelt(keys, characters) -> list[str]:
+    """The n-grams of keys; characters: the code point of each number."""
+    import numpy as np
+
+    parts = np.stack([(keys >> np.uint64(16 * k)) & np.uint64(0xFFFF) for k in reversed(range(LONGEST))], axis=1)
+    lengths = (parts > 0).sum(axis=1).tolist()
+    whole = np.asarray(characters, np.uint32)[parts].tobytes().decode("utf-32-le")
+    return [whole[end - n : end] for n, end in zip(lengths, range(LONGEST, len(whole) + 1, LONGEST))]
+
+
+def _found(keys, own):
+    """Where own stand in the sorted keys, and which of them do."""
+    import numpy as np
+
+    if not len(keys):
+        return np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    return at, keys[at] == own
+
+
+def _told(terms, texts, n):
     import pyarrow as pa
 
-    held: dict[str, list[int]] = {}
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(texts, pa.int64()), pa.array(n, pa.int64())], names=["term", "texts", "n"])
+
+
+def _counted(batches):
+    """(id, text) to (term, texts, n): in how many of the task's texts, and how often.
+
+    Characters are numbered as they come, n-grams are numbers made of those, and the counts of
+    those met before are arrays; new n-grams wait until there are enough to be sorted in."""
+    import numpy as np
+
+    numbers, characters = np.zeros(0x110000, np.uint16), [0]
+    keys, texts, n = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
+    new, waiting = [], 0
 
-    def told():
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([x[0] for x in held.values()], pa.int64()), pa.array([x[1] for x in held.values()], pa.int64())], names=["term", "texts", "n"])
+    def merged():
+        every = np.concatenate([keys, *(k for k, _ in new)])
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        starts = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+        both = [np.concatenate([texts, np.ones(waiting, np.int64)]), np.concatenate([n, *(c for _, c in new)])]
+        return every[starts], *(np.add.reduceat(x[order], starts) if len(starts) else x for x in both)
 
     for batch in batches:
         for text in batch.column(1).to_pylist():
-            for term, n in grams(text or "").items():
-                seen = held.setdefault(term, [0, 0])
-                seen[0] += 1
-                seen[1] += n
-            if len(held) > HELD:
-                yield told()
-                held.clear()
-    if held:
-        yield told()
+            points = _points(text)
+            unknown = np.unique(points[numbers[points] == 0])
+            if len(characters) + len(unknown) > MOST_CHARACTERS:  # begin anew
+                keys, texts, n = merged()
+                yield _told(_spelt(keys, characters), texts, n)
+                keys, texts, n, new, waiting = keys[:0], texts[:0], n[:0], [], 0
+                numbers[:], characters = 0, [0]
+                unknown = np.unique(points)
+                if len(unknown) >= MOST_CHARACTERS:  # in one text
+                    own = grams(text)
+                    yield _told(list(own), [1] * len(own), list(own.values()))
+                    continue
+            numbers[unknown] = np.arange(len(characters), len(characters) + len(unknown))
+            characters.extend(unknown.tolist())
+            own, often = _keys(points, numbers)
+            at, met = _found(keys, own)
+            texts[at[met]] += 1
+            n[at[met]] += often[met]
+            if not met.all():
+                new.append((own[~met], often[~met]))
+                waiting += len(new[-1][0])
+            if waiting > WAITING:
+                keys, texts, n = merged()
+                new, waiting = [], 0
+                if len(keys) > HELD:
+                    yield _told(_spelt(keys, characters), texts, n)
+                    keys, texts, n = keys[:0], texts[:0], n[:0]
+    keys, texts, n = merged()
+    if len(keys):
+        yield _told(_spelt(keys, characters), texts, n)
 
 
 def vocabulary(texts: DataFrame, most: int = MOST_TERMS, least: int = LEAST_TEXTS) -> DataFrame:
@@ -79,14 +158,32 @@ def tfidf(texts: DataFrame, terms: dict[str, tuple[int, float]]) -> DataFrame:
         import pyarrow as pa
 
         of = known.value
+        characters = sorted({c for term in of for c in term})
+        plain = len(characters) >= MOST_CHARACTERS
+        numbers = np.full(0x110000, 0xFFFF, np.uint16)  # a character of no term
+        if not plain:
+            numbers[_points("".join(characters))] = np.arange(1, len(characters) + 1)
+        keys = np.array([0 if plain else sum(int(numbers[ord(c)]) << 16 * k for k, c in enumerate(reversed(term))) for term in of], np.uint64)
+        order = np.argsort(keys)
+        keys, places, rarity = keys[order], np.array([p for p, _ in of.values()], np.int32)[order], np.array([i for _, i in of.values()], np.float64)[order]
         for batch in batches:
-            places, weights = [], []
+            at, weights = [np.zeros(0, np.int32)], [np.zeros(0)]
             for text in batch.column(1).to_pylist():
-                own = sorted((of[t][0], of[t][1], n) for t, n in grams(text or "").items() if t in of)
-                w = np.array([(1 + np.log(n)) * i for _, i, n in own])
-                places.append([p for p, _, _ in own])
+                if plain:
+                    own = sorted((of[t][0], of[t][1], n) for t, n in grams(text or "").items() if t in of)
+                    place, i, n = np.array([p for p, _, _ in own], np.int32), np.array([i for _, i, _ in own]), np.array([n for _, _, n in own])
+                else:
+                    own, n = _keys(_points(text), numbers)
+                    there, met = _found(keys, own)
+                    there, n = there[met], n[met]
+                    by = np.argsort(places[there])
+                    place, i, n = places[there][by], rarity[there][by], n[by]
+                w = (1 + np.log(n)) * i
+                at.append(place)
                 weights.append(w / np.sqrt((w * w).sum()) if len(w) else w)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=["id", "at", "weight"])
+            ends = np.cumsum([len(x) for x in at], dtype=np.int32)
+            lists = [pa.ListArray.from_arrays(ends, np.concatenate(x)) for x in (at, weights)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "at", "weight"])
 
     return texts.mapInArrow(weigh, f"id {id_type}, at array<int>, weight array<double>")
 
