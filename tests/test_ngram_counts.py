@@ -50,3 +50,14 @@ def test_weights_whatever_the_characters(spark):
     assert by_number[5]["at"] == [7] and by_number[12]["at"] == [] and by_number[13]["at"] == [0]
     for i, row in by_number.items():
         assert row["at"] == by_text[i]["at"] and np.allclose(row["weight"], by_text[i]["weight"], rtol=1e-12)
+
+
+def test_rounds_read_bytes_and_the_image_is_kept(spark, monkeypatch):
+    """Rows are read once a round and once for the image, which is multiplied with nothing but
+    what is small; they are bytes, not arrays."""
+    seen, plain = [], spectra.written
+    monkeypatch.setattr(spectra, "written", lambda df: seen.append(df.schema.simpleString()) or plain(df))
+    df = spark.createDataFrame([(i, f"text {i} of many {i % 3}") for i in range(40)], "id long, text string")
+    got = spectra.text_features(df).collect()
+    assert len(got) == 40 and {len(r["features"]) for r in got} == {32}
+    assert seen[1:] == ["struct<id:bigint,at:binary,weight:binary>", "struct<id:bigint,features:array<double>>"]

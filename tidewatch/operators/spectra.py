@@ -21,7 +21,7 @@ COMPONENTS, SPARE, ROUNDS, SEED = 32, 10, 5, 42
 #: Distinct n-grams that a task counts before it sends them on, and new ones that wait to be
 #: sorted in; characters that it tells apart at once; texts multiplied at once; terms whose
 #: sums travel in one row.
-HELD, WAITING, MOST_CHARACTERS, TEXTS_AT_ONCE, BLOCK = 400_000, 100_000, 0xFFFF, 64, 1_000
+HELD, WAITING, MOST_CHARACTERS, TEXTS_AT_ONCE, BLOCK = 400_000, 100_000, 0xFFFF, 256, 1_000
 
 
 def grams(text: str) -> dict[str, int]:
@@ -146,10 +146,12 @@ def idf(texts: str, total: str) -> str:
     return f"ln((1.0 + {total}) / (1.0 + {texts})) + 1"
 
 
-def tfidf(texts: DataFrame, terms: dict[str, tuple[int, float]]) -> DataFrame:
+def tfidf(texts: DataFrame, terms: dict[str, tuple[int, float]], packed: bool = False) -> DataFrame:
     """(id, at, weight): each text's n-grams by their place in `terms` (term to place and
     inverse frequency; MOST_TERMS at most), weighing 1 + ln(n) times that, scaled to length 1.
-    A text without any, or a null one, has none."""
+    A text without any, or a null one, has none. If packed, places and weights are bytes
+    (32-bit integers, doubles), which pass between Spark and Python as they are, where arrays
+    go number by number."""
     known = texts.sparkSession.sparkContext.broadcast(terms)
     id_type = texts.schema[0].dataType.simpleString()
 
@@ -182,22 +184,22 @@ def tfidf(texts: DataFrame, terms: dict[str, tuple[int, float]]) -> DataFrame:
                 at.append(place)
                 weights.append(w / np.sqrt((w * w).sum()) if len(w) else w)
             ends = np.cumsum([len(x) for x in at], dtype=np.int32)
-            lists = [pa.ListArray.from_arrays(ends, np.concatenate(x)) for x in (at, weights)]
+            lists = [pa.array([y.tobytes() for y in x[1:]], pa.binary()) if packed else pa.ListArray.from_arrays(ends, np.concatenate(x)) for x in (at, weights)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "at", "weight"])
 
-    return texts.mapInArrow(weigh, f"id {id_type}, at array<int>, weight array<double>")
+    return texts.mapInArrow(weigh, f"id {id_type}, " + ("at binary, weight binary" if packed else "at array<int>, weight array<double>"))
 
 
 def _dense(batch, width: int):
-    """Parts of a batch (.., at, weight) as dense rows, some texts at a time."""
+    """Parts of a batch (.., at, weight) of packed rows as dense rows, some texts at a time."""
     import numpy as np
 
     for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
         part = batch.slice(start, TEXTS_AT_ONCE)
-        at, weight = part.column("at"), part.column("weight")
+        at, weight = (part.column(name).to_pylist() for name in ("at", "weight"))
         rows = np.zeros((part.num_rows, width))
-        owner = np.repeat(np.arange(part.num_rows), np.diff(at.offsets.to_numpy()))
-        rows[owner, at.flatten().to_numpy()] = weight.flatten().to_numpy()
+        owner = np.repeat(np.arange(part.num_rows), [len(x) // 4 for x in at])
+        rows[owner, np.frombuffer(b"".join(at), np.int32)] = np.frombuffer(b"".join(weight))
         yield rows
 
 
@@ -215,9 +217,17 @@ def _summed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["block", "sums"])
 
 
-def _product(rows: DataFrame, columns, gram: bool):
-    """With A the matrix of rows and Q the columns: the sum over tasks of A'(AQ), or of
-    (AQ)'(AQ) if gram. Each task tells its sum in blocks; blocks are added up in parallel."""
+def _added(parts: DataFrame, columns: int):
+    """Tasks' sums (block, sums) of matrices with so many columns, added up in parallel."""
+    import numpy as np
+
+    found = {r["block"]: r["sums"] for r in parts.repartition("block").mapInArrow(_summed, parts.schema).collect()}
+    return np.concatenate([np.zeros(0), *(found[k] for k in sorted(found))]).reshape(-1, columns)
+
+
+def _product(rows: DataFrame, columns):
+    """With A the matrix of packed rows and Q the columns: A'(AQ), summed over tasks. Each task
+    tells its sum in blocks; blocks are added up in parallel."""
     import numpy as np
 
     width = columns.shape[0]
@@ -227,46 +237,21 @@ def _product(rows: DataFrame, columns, gram: bool):
         import pyarrow as pa
 
         q = shared.value
-        total = np.zeros((q.shape[1] if gram else width, q.shape[1]))
+        total = np.zeros((q.shape[1], width))
         for batch in batches:
             for dense in _dense(batch, width):
-                images = dense @ q
-                total += (images if gram else dense).T @ images
-        starts = range(0, len(total), BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array([total[s : s + BLOCK].ravel() for s in starts], pa.list_(pa.float64()))], names=["block", "sums"])
-
-    parts = rows.select("at", "weight").mapInArrow(multiply, "block int, sums array<double>").repartition("block").mapInArrow(_summed, "block int, sums array<double>").collect()
-    out = np.zeros(columns.shape[1] ** 2 if gram else columns.size)
-    for r in parts:
-        start = r["block"] * BLOCK * columns.shape[1]
-        out[start : start + len(r["sums"])] = r["sums"]
-    shared.unpersist()
-    return out.reshape(-1, columns.shape[1])
-
+                total += (dense @ q).T @ dense
+        starts = range(0, width, BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array([total[:, s : s + BLOCK].T.ravel() for s in starts], pa.list_(pa.float64()))], names=["block", "sums"])
 
-def directions(rows: DataFrame, width: int, n_texts: int, components: int = COMPONENTS, rounds: int = ROUNDS, seed: int = SEED):
-    """(V, s): right singular vectors (width x k) and values of the matrix of rows (.., at,
-    weight), for the k = min(components, texts - 1, width - 1) largest values. A random start
-    is multiplied by A'A and made orthogonal `rounds` times; the Gram matrix of its image then
-    tells vectors and values. Each vector's entry of largest size is positive."""
-    import numpy as np
-
-    k = max(0, min(components, n_texts - 1, width - 1))
-    if k == 0:
-        return np.zeros((width, 0)), np.zeros(0)
-    q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, min(width, k + SPARE))))
-    for _ in range(rounds):
-        q, _ = np.linalg.qr(_product(rows, q, gram=False))
-    values, turns = np.linalg.eigh(_product(rows, q, gram=True))
-    order = np.argsort(-values)[:k]
-    v = q @ turns[:, order]
-    signs = np.sign(v[np.abs(v).argmax(0), np.arange(k)])
-    return v * np.where(signs == 0, 1, signs), np.sqrt(np.maximum(values[order], 0))
+    out = _added(rows.select("at", "weight").mapInArrow(multiply, "block int, sums array<double>"), columns.shape[1])
+    shared.unpersist()
+    return out
 
 
-def projected(rows: DataFrame, v) -> DataFrame:
-    """(id, features): each text's row times V."""
-    shared = rows.sparkSession.sparkContext.broadcast(v)
+def projected(rows: DataFrame, columns) -> DataFrame:
+    """(id, features): each text's packed row times the columns."""
+    shared = rows.sparkSession.sparkContext.broadcast(columns)
     id_type = rows.schema[0].dataType.simpleString()
 
     def run(batches):
@@ -280,6 +265,59 @@ def projected(rows: DataFrame, v) -> DataFrame:
     return rows.mapInArrow(run, f"id {id_type}, features array<double>")
 
 
+def turned(images: DataFrame, turns) -> DataFrame:
+    """(id, features) times a small matrix."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            found = batch.column(1).flatten().to_numpy().reshape(-1, turns.shape[0]) @ turns
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.list_(pa.float64()))], names=["id", "features"])
+
+    return images.mapInArrow(run, images.schema)
+
+
+def _gram(images: DataFrame, columns: int):
+    """Y'Y of the matrix of images (id, features)."""
+
+    def multiply(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros((columns, columns))
+        for batch in batches:
+            own = batch.column(0).flatten().to_numpy().reshape(-1, columns)
+            total += own.T @ own
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.ravel()], pa.list_(pa.float64()))], names=["block", "sums"])
+
+    return _added(images.select("features").mapInArrow(multiply, "block int, sums array<double>"), columns)
+
+
+def along_directions(rows: DataFrame, width: int, n_texts: int, components: int = COMPONENTS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+    """(id, features): each text's packed row along the right singular vectors of the matrix
+    of all, for the k = min(components, texts - 1, width - 1) largest values. A random start
+    is multiplied by A'A and made orthogonal `rounds` times; the Gram matrix of its image then
+    tells how the image, which is kept, is turned. Each vector's entry of largest size is
+    positive."""
+    import numpy as np
+
+    k = max(0, min(components, n_texts - 1, width - 1))
+    if k == 0:
+        return rows.select("id", F.array().cast("array<double>").alias("features"))
+    q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, min(width, k + SPARE))))
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(_product(rows, q))
+    images = written(projected(rows, q))
+    discard(rows)
+    values, turns = np.linalg.eigh(_gram(images, q.shape[1]))
+    turns = turns[:, np.argsort(-values)[:k]]
+    v = q @ turns
+    signs = np.sign(v[np.abs(v).argmax(0), np.arange(k)])
+    return turned(images, turns * np.where(signs == 0, 1, signs))
+
+
 def text_features(texts: DataFrame, most: int = MOST_TERMS, components: int = COMPONENTS) -> DataFrame:
     """(id, features) of texts (id, text): up to `components` numbers each, from the leading
     directions of the TF-IDF matrix of their character n-grams. Texts without any known
@@ -291,12 +329,9 @@ def text_features(texts: DataFrame, most: int = MOST_TERMS, components: int = CO
     total = texts.count()
     found = vocabulary(texts, most).collect()  # `most` rows at most
     terms = {r["term"]: (i, math.log((1 + total) / (1 + r["texts"])) + 1) for i, r in enumerate(found)}
-    rows = written(tfidf(texts, terms))
+    rows = written(tfidf(texts, terms, packed=True))  # read once a round, and once more
     discard(texts)
-    v, _ = directions(rows, len(terms), total, components)
-    if v.shape[1] == 0:
-        return rows.select("id", F.array().cast("array<double>").alias("features"))
-    return projected(rows, v)
+    return along_directions(rows, len(terms), total, components)
 
 
 def _texts(spark, sf_dir) -> DataFrame:
