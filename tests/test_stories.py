@@ -106,3 +106,41 @@ def test_ratio_of_strings_is_difflibs():
     for _ in range(3000):
         a, b = ("".join(draw.choices("abcde"[: draw.choice([2, 5])], k=draw.choice([0, 1, 7, 40, 210]))) for _ in "ab")
         assert sequence_ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_ratios_of_many_pairs_are_difflibs():
+    """All at once, with popular characters and without; where less than `least` is enough, less than that."""
+    import random
+
+    import numpy as np
+
+    from tidewatch.functions.likeness import Texts
+
+    draw = random.Random(3)
+    texts = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz가나"[: draw.choice([2, 5, 28])], k=draw.choice([0, 1, 7, 40, 199, 200, 450]))) for _ in range(25)]
+    texts += [t[:k] + draw.choice("az") + t[k + 3 :] for t, k in ((draw.choice(texts), draw.choice([0, 30, 150])) for _ in range(25))]
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(50), np.arange(50)))
+    want = np.array([difflib.SequenceMatcher(None, texts[a], texts[b]).ratio() for a, b in zip(left, right)])
+    assert (Texts(texts).ratios(left, right, np.full(len(left), -1.0)) == want).all()
+    least = np.random.default_rng(1).random(len(left))
+    found = Texts(texts).ratios(left, right, least)
+    assert ((found == want) | ((want < least) & (found < least))).all()
+
+
+def test_linked_items_are_not_compared_again(monkeypatch):
+    """Of items that are linked already no sequence ratio is taken when only links are asked for."""
+    import pyarrow as pa
+
+    from tidewatch.functions.likeness import Titles
+
+    asked, ratios = [], Titles.ratios
+    monkeypatch.setattr(Titles, "ratios", lambda self, left, right, least: asked.append(len(left)) or ratios(self, left, right, least))
+    concepts = [{"key": k, "weight": w} for k, _, w in stories.CONCEPTS[:2]] + [{"key": "object:site", "weight": 0.7}]
+    words = "plant stops after fire while crew talks with union about the deal again".split()
+    rows = [{"company_id": 0, "i": 0, "j": 0, "own": False, "raw_id": i, "at": 0, "t": " ".join(words[i % 7 : i % 7 + 6]), "body": f"{i} erin", "concepts": concepts} for i in range(300)]
+    told = lambda scored: [r for b in stories._pairs_of_tiles([pa.RecordBatch.from_pylist(rows)], scored) for r in b.to_pylist()]
+    pairs, all_asked = told(True), sum(asked)
+    asked.clear()
+    links = told(False)
+    assert len(links) == 299 and len(pairs) > 10_000
+    assert sum(asked) < all_asked / 100
