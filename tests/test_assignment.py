@@ -147,3 +147,18 @@ def test_blocks_against_plain_run(spark, monkeypatch):
             for batch in assignment._joined([pa.RecordBatch.from_pylist(part)]):
                 got |= {r["raw_id"]: (r["parent"], r["similarity"]) for r in batch.to_pylist()}
         assert got == plain(rows, compared, candidates)
+
+
+def test_ratios_of_many_items_are_taken_at_once(monkeypatch):
+    """A block's items ask for their ratios together, and each only for what can still be its best match."""
+    import pyarrow as pa
+
+    from tidewatch.functions.likeness import Titles
+
+    asked, ratios = [], Titles.ratios
+    monkeypatch.setattr(Titles, "ratios", lambda self, left, right, least: asked.append(len(left)) or ratios(self, left, right, least))
+    draw, concepts = random.Random(5), [{"key": k, "weight": w} for k, _, w in stories.CONCEPTS[:4]]
+    rows = [{"company_id": 0, "block": 0, "position": i, "asks": True, "raw_id": i, "at": i, "fingerprint": str(i), "t": " ".join(draw.choices(WORDS, k=6)), "body": " ".join(draw.choices(WORDS, k=9)), "concepts": concepts} for i in range(250)]
+    found = [r for b in assignment._joined([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()]
+    assert len(found) == 250 and sum(r["parent"] is not None for r in found) > 200
+    assert 0 < len(asked) < 50 and sum(asked) < 250 * 249 / 4
