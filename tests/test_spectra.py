@@ -68,3 +68,22 @@ def test_little_to_learn(spark):
     same = [(i, "all the same text") for i in range(9)]
     got = np.array([r["features"] for r in spectra.text_features(spark.createDataFrame(same, "id long, text string")).collect()])
     assert np.allclose(np.abs(got[:, 0]), 1) and np.allclose(got[:, 1:], 0, atol=1e-6)
+
+
+def test_packed_rows_are_the_rows_in_few_bytes(spark):
+    """Gaps and counts of any size come back as the same weights, in about two bytes an n-gram."""
+    values = np.array([0, 1, 254, 255, 256, 509, 510, 511, 18_000, 0, 70_000])
+    rows, found = spectra._unpacked([spectra._packed(values), b"", spectra._packed(values[::-1])])
+    assert found.tolist() == [*values, *values[::-1]] and rows.tolist() == [0] * 11 + [2] * 11
+    df = spark.createDataFrame([(i, "ab" * 300 * (i == 2) + f"text {i} of many {i % 3}" * (i % 5)) for i in range(40)], "id long, text string").coalesce(1)
+    terms = {r["term"]: (i * 7, 1 + i / 9) for i, r in enumerate(spectra.vocabulary(df, most=400).collect())}
+    plain, packed = spectra.tfidf(df, terms).toArrow(), spectra.tfidf(df, terms, packed=True).toArrow()
+    rarity = np.ones(7 * len(terms))
+    rarity[::7] = [r for _, r in terms.values()]
+    dense = np.concatenate([d for b in packed.to_batches() for d in spectra._dense(b, rarity)])
+    want = np.zeros(dense.shape)
+    for row, (at, weight) in enumerate(zip(plain["at"].to_pylist(), plain["weight"].to_pylist())):
+        want[row, at] = weight
+    n = sum(len(x) for x in plain["at"].to_pylist())
+    assert n > 500 and np.allclose(dense, want, rtol=1e-12)
+    assert sum(len(x) for name in ("at", "weight") for x in packed[name].to_pylist()) < 2.2 * n

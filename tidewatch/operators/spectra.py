@@ -149,9 +149,8 @@ def idf(texts: str, total: str) -> str:
 def tfidf(texts: DataFrame, terms: dict[str, tuple[int, float]], packed: bool = False) -> DataFrame:
     """(id, at, weight): each text's n-grams by their place in `terms` (term to place and
     inverse frequency; MOST_TERMS at most), weighing 1 + ln(n) times that, scaled to length 1.
-    A text without any, or a null one, has none. If packed, places and weights are bytes
-    (32-bit integers, doubles), which pass between Spark and Python as they are, where arrays
-    go number by number."""
+    A text without any, or a null one, has none. If packed, bytes stand for both, about two an
+    n-gram: the gaps between places, and the counts n, of which `_dense` makes the weights."""
     known = texts.sparkSession.sparkContext.broadcast(terms)
     id_type = texts.schema[0].dataType.simpleString()
 
@@ -169,7 +168,7 @@ def tfidf(texts: DataFrame, terms: dict[str, tuple[int, float]], packed: bool =
         order = np.argsort(keys)
         keys, places, rarity = keys[order], np.array([p for p, _ in of.values()], np.int32)[order], np.array([i for _, i in of.values()], np.float64)[order]
         for batch in batches:
-            at, weights = [np.zeros(0, np.int32)], [np.zeros(0)]
+            at, weights = ([], []) if packed else ([np.zeros(0, np.int32)], [np.zeros(0)])
             for text in batch.column(1).to_pylist():
                 if plain:
                     own = sorted((of[t][0], of[t][1], n) for t, n in grams(text or "").items() if t in of)
@@ -180,26 +179,55 @@ def tfidf(texts: DataFrame, terms: dict[str, tuple[int, float]], packed: bool =
                     there, n = there[met], n[met]
                     by = np.argsort(places[there])
                     place, i, n = places[there][by], rarity[there][by], n[by]
+                if packed:
+                    at.append(_packed(np.diff(place, prepend=-1) - 1))
+                    weights.append(_packed(n))
+                    continue
                 w = (1 + np.log(n)) * i
                 at.append(place)
                 weights.append(w / np.sqrt((w * w).sum()) if len(w) else w)
             ends = np.cumsum([len(x) for x in at], dtype=np.int32)
-            lists = [pa.array([y.tobytes() for y in x[1:]], pa.binary()) if packed else pa.ListArray.from_arrays(ends, np.concatenate(x)) for x in (at, weights)]
+            lists = [pa.array(x, pa.binary()) if packed else pa.ListArray.from_arrays(ends, np.concatenate(x)) for x in (at, weights)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "at", "weight"])
 
     return texts.mapInArrow(weigh, f"id {id_type}, " + ("at binary, weight binary" if packed else "at array<int>, weight array<double>"))
 
 
-def _dense(batch, width: int):
-    """Parts of a batch (.., at, weight) of packed rows as dense rows, some texts at a time."""
+def _packed(values) -> bytes:
+    """Whole numbers from 0 as bytes, most of them in one: 255 as often as it goes, then the rest."""
+    import numpy as np
+
+    times, rest = np.divmod(values, 255)
+    if not times.any():
+        return rest.astype(np.uint8).tobytes()
+    found = np.full(len(rest) + int(times.sum()), 255, np.uint8)
+    found[np.cumsum(times + 1) - 1] = rest
+    return found.tobytes()
+
+
+def _unpacked(rows: list[bytes]):
+    """(row, value) of the numbers of some packed rows."""
+    import numpy as np
+
+    found = np.frombuffer(b"".join(rows), np.uint8)
+    ends = np.flatnonzero(found < 255)
+    return np.repeat(np.arange(len(rows)), [len(x) for x in rows])[ends], np.diff(np.cumsum(found, dtype=np.int64)[ends], prepend=0)
+
+
+def _dense(batch, rarity):
+    """Parts of a batch (.., at, weight) of packed rows as dense rows, some texts at a time.
+    rarity: the terms' inverse frequencies."""
     import numpy as np
 
     for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
         part = batch.slice(start, TEXTS_AT_ONCE)
-        at, weight = (part.column(name).to_pylist() for name in ("at", "weight"))
-        rows = np.zeros((part.num_rows, width))
-        owner = np.repeat(np.arange(part.num_rows), [len(x) // 4 for x in at])
-        rows[owner, np.frombuffer(b"".join(at), np.int32)] = np.frombuffer(b"".join(weight))
+        rows = np.zeros((part.num_rows, len(rarity)))
+        owner, gaps = _unpacked(part.column("at").to_pylist())
+        _, n = _unpacked(part.column("weight").to_pylist())
+        before = np.append(0, np.cumsum(gaps + 1))
+        place = before[1:] - before[np.searchsorted(owner, np.arange(part.num_rows))][owner] - 1
+        w = (1 + np.log(n)) * rarity[place]
+        rows[owner, place] = w / np.sqrt(np.bincount(owner, w * w, minlength=part.num_rows))[owner]
         yield rows
 
 
@@ -225,21 +253,21 @@ def _added(parts: DataFrame, columns: int):
     return np.concatenate([np.zeros(0), *(found[k] for k in sorted(found))]).reshape(-1, columns)
 
 
-def _product(rows: DataFrame, columns):
+def _product(rows: DataFrame, rarity, columns):
     """With A the matrix of packed rows and Q the columns: A'(AQ), summed over tasks. Each task
     tells its sum in blocks; blocks are added up in parallel."""
     import numpy as np
 
     width = columns.shape[0]
-    shared = rows.sparkSession.sparkContext.broadcast(columns)  # MOST_TERMS x (COMPONENTS + SPARE) numbers: 6 MB at most
+    shared = rows.sparkSession.sparkContext.broadcast((columns, rarity))  # MOST_TERMS x (COMPONENTS + SPARE) numbers: 6 MB at most
 
     def multiply(batches):
         import pyarrow as pa
 
-        q = shared.value
+        q, rare = shared.value
         total = np.zeros((q.shape[1], width))
         for batch in batches:
-            for dense in _dense(batch, width):
+            for dense in _dense(batch, rare):
                 total += (dense @ q).T @ dense
         starts = range(0, width, BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array([total[:, s : s + BLOCK].T.ravel() for s in starts], pa.list_(pa.float64()))], names=["block", "sums"])
@@ -249,17 +277,18 @@ def _product(rows: DataFrame, columns):
     return out
 
 
-def projected(rows: DataFrame, columns) -> DataFrame:
+def projected(rows: DataFrame, rarity, columns) -> DataFrame:
     """(id, features): each text's packed row times the columns."""
-    shared = rows.sparkSession.sparkContext.broadcast(columns)
+    shared = rows.sparkSession.sparkContext.broadcast((columns, rarity))
     id_type = rows.schema[0].dataType.simpleString()
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        q, rare = shared.value
         for batch in batches:
-            found = [dense @ shared.value for dense in _dense(batch, shared.value.shape[0])]
+            found = [dense @ q for dense in _dense(batch, rare)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(np.concatenate(found)) if found else [], pa.list_(pa.float64()))], names=["id", "features"])
 
     return rows.mapInArrow(run, f"id {id_type}, features array<double>")
@@ -295,21 +324,22 @@ def _gram(images: DataFrame, columns: int):
     return _added(images.select("features").mapInArrow(multiply, "block int, sums array<double>"), columns)
 
 
-def along_directions(rows: DataFrame, width: int, n_texts: int, components: int = COMPONENTS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """(id, features): each text's packed row along the right singular vectors of the matrix
-    of all, for the k = min(components, texts - 1, width - 1) largest values. A random start
+def along_directions(rows: DataFrame, rarity, n_texts: int, components: int = COMPONENTS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+    """(id, features): each text's packed row, given the terms' inverse frequencies, along the
+    right singular vectors of the matrix of all, for the k = min(components, texts - 1, width - 1) largest values. A random start
     is multiplied by A'A and made orthogonal `rounds` times; the Gram matrix of its image then
     tells how the image, which is kept, is turned. Each vector's entry of largest size is
     positive."""
     import numpy as np
 
+    width = len(rarity)
     k = max(0, min(components, n_texts - 1, width - 1))
     if k == 0:
         return rows.select("id", F.array().cast("array<double>").alias("features"))
     q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, min(width, k + SPARE))))
     for _ in range(rounds):
-        q, _ = np.linalg.qr(_product(rows, q))
-    images = written(projected(rows, q))
+        q, _ = np.linalg.qr(_product(rows, rarity, q))
+    images = written(projected(rows, rarity, q))
     discard(rows)
     values, turns = np.linalg.eigh(_gram(images, q.shape[1]))
     turns = turns[:, np.argsort(-values)[:k]]
@@ -325,13 +355,15 @@ def text_features(texts: DataFrame, most: int = MOST_TERMS, components: int = CO
     count as texts of their own."""
     import math
 
+    import numpy as np
+
     texts = written(texts)  # read twice
     total = texts.count()
     found = vocabulary(texts, most).collect()  # `most` rows at most
     terms = {r["term"]: (i, math.log((1 + total) / (1 + r["texts"])) + 1) for i, r in enumerate(found)}
     rows = written(tfidf(texts, terms, packed=True))  # read once a round, and once more
     discard(texts)
-    return along_directions(rows, len(terms), total, components)
+    return along_directions(rows, np.array([rarity for _, rarity in terms.values()], float), total, components)
 
 
 def _texts(spark, sf_dir) -> DataFrame:
